@@ -24,12 +24,12 @@ def _ends(text: str) -> list[int]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for key, text in zip(b.column(0), b.column(1).to_pylist()):
+        for r, text in enumerate(b.column(2).to_pylist()):
             parts = list(B.cut_chunks(text))
             for no, (at, chunk) in enumerate(parts):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key.as_py()], b.schema.field(0).type), pa.array([no], pa.int32()), pa.array([at], pa.int64()), pa.array([no == len(parts) - 1]), pa.array([chunk]), pa.array([B.transition(chunk)], pa.list_(pa.int32()))],
-                    names=["_key", "_no", "_at", "_last", "_chunk", "_f"],
+                    [b.column(0).slice(r, 1), b.column(1).slice(r, 1), pa.array([no], pa.int32()), pa.array([at], pa.int64()), pa.array([no == len(parts) - 1]), pa.array([chunk]), pa.array([B.transition(chunk)], pa.list_(pa.int32()))],
+                    names=["_row", "_key", "_no", "_at", "_last", "_chunk", "_f"],
                 )
 
 
@@ -57,24 +57,17 @@ def sentence_ends(df: DataFrame, key: str = "doc_id", text: str = "text", long_t
     short = usual.select("_key", F.explode(_ends("_text")).alias("sent_end"))
 
     long = d.where(F.length("_text") > long_text).withColumn("_row", F.monotonically_increasing_id())
-    schema = T.StructType([
-        T.StructField("_row", T.LongType()), T.StructField("_no", T.IntegerType()), T.StructField("_at", T.LongType()),
-        T.StructField("_last", T.BooleanType()), T.StructField("_chunk", T.StringType()), T.StructField("_f", T.ArrayType(T.IntegerType())),
-    ])
-
-    def cut(batches):
-        for b in _cut(batches):
-            yield b.rename_columns(["_row", "_no", "_at", "_last", "_chunk", "_f"])
-
-    chunks = long.select("_row", "_text").mapInArrow(cut, schema)
+    schema = long.select("_row", "_key").schema
+    for name, kind in (("_no", "int"), ("_at", "bigint"), ("_last", "boolean"), ("_chunk", "string"), ("_f", "array<int>")):
+        schema = schema.add(name, T.DataType.fromDDL(kind))
+    chunks = long.select("_row", "_key", "_text").mapInArrow(_cut, schema)
     entry = (
         chunks.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_no", "_f"))).alias("c"))
         .select("_row", F.posexplode(_entries(F.col("c._f"))).alias("_no", "_state"))
     )
     emitted = (
         chunks.drop("_f").join(entry, ["_row", "_no"])
-        .select("_row", F.explode(_chunk_ends("_chunk", "_at", "_state", "_last")).alias("sent_end"))
-        .join(long.select("_row", "_key"), "_row").select("_key", "sent_end")
+        .select("_key", F.explode(_chunk_ends("_chunk", "_at", "_state", "_last")).alias("sent_end"))
     )
     return short.unionByName(emitted).withColumnRenamed("_key", key)
 
