@@ -113,7 +113,7 @@ def _follows(s: str, at: int) -> tuple[int, str]:
     return k, s[k] if k < len(s) else ""
 
 
-def _ends_at_dot(s: str, start: int, dot: int, after: int) -> bool:
+def ends_at_dot(s: str, start: int, dot: int, after: int) -> bool:
     """Whether one full stop at ``dot`` ends a sentence; ``after`` is behind mark and closers."""
     k, n = _follows(s, after)
     if not n:
@@ -203,7 +203,7 @@ def _ends_at_mark(s: str, start: int, a: int, mark: str, after: int) -> bool:
         return blank and (_cased_upper(n) or n in "¿¡«“„\"'#*(")
     if core == "．":
         return not n.isdigit()
-    return _ends_at_dot(s, start, a, after)
+    return ends_at_dot(s, start, a, after)
 
 
 def _ends_behind_span(s: str, start: int, a: int, b: int) -> bool:

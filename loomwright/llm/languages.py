@@ -1,14 +1,12 @@
 """Which language a text or a sentence is in, for the languages of the tables.
 
 Scripts settle most languages.  Latin ones are told apart by function words and letters
-(fixed values below); ``LatinModel`` adds a character n-gram model that is trained here on a
-bounded sample of sentences which function words label clearly.
+(fixed values below).  A text without such evidence has no language.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 
 import numpy as np
 
@@ -78,53 +76,3 @@ def language(text: str) -> str:
         return s
     v = latin_votes(text)
     return LATIN[int(v.argmax())] if v.max() > 0 else ""
-
-
-class LatinModel:
-    """Naive Bayes over hashed character 1- to 4-grams of words, for short Latin sentences."""
-
-    BITS = 15
-
-    def __init__(self, logs: np.ndarray) -> None:
-        self.logs = logs
-
-    @classmethod
-    def _slots(cls, text: str) -> np.ndarray:
-        out = []
-        for w in _LATIN_WORD.findall(text.lower()):
-            w = f"<{w}>"
-            for n in (2, 3, 4):
-                out += [w[i : i + n] for i in range(len(w) - n + 1)]
-            out.append(w)
-        mask = (1 << cls.BITS) - 1
-        return np.fromiter((_fnv(x) & mask for x in out), dtype=np.int64, count=len(out))
-
-    @classmethod
-    def fit(cls, sentences: Iterable[str], margin: float = 2.0) -> LatinModel:
-        """Trained on the sentences whose function words point to one language by ``margin``."""
-        counts = np.full((len(LATIN), 1 << cls.BITS), 0.05)
-        for s in sentences:
-            v = latin_votes(s)
-            order = np.sort(v)
-            if order[-1] - order[-2] >= margin:
-                np.add.at(counts[int(v.argmax())], cls._slots(s), 1.0)
-        return cls(np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
-
-    def score(self, text: str) -> np.ndarray:
-        """Log-likelihoods, with function words counted in."""
-        return self.logs[:, self._slots(text)].sum(1) + 1.5 * latin_votes(text)
-
-    def language(self, text: str, least: float = 2.0) -> str:
-        s = script_language(text)
-        if s != "latin":
-            return s
-        v = self.score(text)
-        order = np.sort(v)
-        return LATIN[int(v.argmax())] if order[-1] - order[-2] >= least else ""
-
-
-def _fnv(s: str) -> int:
-    h = 2166136261
-    for b in s.encode():
-        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
-    return h ^ (h >> 15)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.boundaries import SPEAKERS
+from loomwright.llm.boundaries import ENDS, SPEAKERS, ends_at_dot
 from loomwright.llm.languages import LANGUAGES, language
 from loomwright.session import cut_lineage
 from loomwright.sources.tables import table
@@ -44,6 +44,7 @@ _ARTIFACT = re.compile(r"(?:(?<!\\)\\(?:u[0-9a-fA-F]{0,3})?|&(?:#x?[0-9a-fA-F]{0
 _SHORT = re.compile(r"(?:\#{1,6}\s*)?[\\$()\[\]{}\w.,:%+\-*/=^°€£~'’]{1,24}\Z")
 _ADDRESS = re.compile(r"(?:[<(\[]?)(?:\w+://\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[\w-]+(?:\.[\w-]+)+(?:/[^\s]*)?)[>)\]]?\Z")
 _SIGNATURE = re.compile(r"(?:—|–|--?|~)\s*\S{1,24}(?:\s\S{1,24}){0,3}\Z")
+_LIST_LINE = re.compile(r"(?:[-*+•‣◦▪●·]|\d{1,3}[.)])\s")
 _EAST = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PADDING = "\x02" * max(ORDERS)
@@ -158,6 +159,21 @@ def final_contexts(lang: int, line: str) -> list[int]:
     return [int(((h[-1] ^ salt) & ~np.uint64(1)) >> np.uint64(1)) for _, h in _hashes(a)][::-1]
 
 
+def asked_contexts(lang: int, line: str) -> list[int]:
+    """The final contexts that may judge a line; -1 for one that may not.
+
+    Three characters cannot tell the end of a word from an abbreviation, so where the rules
+    of sentence boundaries see the end of a sentence, only longer contexts or the mark alone
+    speak.  The last letter alone says nothing about a list item.
+    """
+    found = final_contexts(lang, line)
+    if line[-1] in ENDS or (line[-1] == "." and ends_at_dot(line + " X", 0, len(line) - 1, len(line))):
+        found[ORDERS.index(3)] = -1
+    elif _LIST_LINE.match(line):
+        found[ORDERS.index(1)] = -1
+    return found
+
+
 def count_contexts(texts: DataFrame, text: str) -> DataFrame:
     """``ctx, n, e`` over all lines of all texts; partly aggregated before the shuffle."""
 
@@ -194,7 +210,7 @@ def log_odds(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
             langs = [_line_language(x, t) if x else -1 for x, t in zip(lines, b["_t"])]
             out = b[keys].copy()
             out["lang"], out["verdict"] = langs, verdicts
-            out["ctxs"] = [final_contexts(g, x) if g >= 0 else [] for g, x in zip(langs, lines)]
+            out["ctxs"] = [asked_contexts(g, x) if g >= 0 else [] for g, x in zip(langs, lines)]
             yield out
 
     d = texts.select(*keys, F.col(text).alias("_t")).where(F.col("_t").isNotNull())
