@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("leaks", "pairs", "sentences", "truncation")
+MODULES = ("leaks", "neardup", "pairs", "sentences", "truncation")
 
 
 def queries() -> dict:
