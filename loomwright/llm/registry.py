@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("leaks", "neardup", "packing", "pairs", "sentences", "truncation")
+MODULES = ("leaks", "mixing", "neardup", "packing", "pairs", "sentences", "truncation")
 
 
 def queries() -> dict:
