@@ -174,7 +174,7 @@ def near_duplicates(df: DataFrame, key: str, text: Column, similarity: float = S
     members = classes.select("key", "h").distinct()
     reps = cut_lineage(classes.groupBy("h").agg(F.first("text").alias("text")))
     words = SKETCH_BITS // 64
-    signed = reps.mapInArrow(_sign, "h binary, n int, " + ", ".join(f"s{k} long" for k in range(words)) + ", keys array<bigint>")
+    signed = cut_lineage(reps.mapInArrow(_sign, "h binary, n int, " + ", ".join(f"s{k} long" for k in range(words)) + ", keys array<bigint>"))  # both sides of the join read it
     rows = signed.select("h", "n", *(f"s{k}" for k in range(words)), F.explode("keys").alias("bucket"))
     other = rows.withColumnsRenamed({c: f"{c}_" for c in rows.columns if c != "bucket"})
     differing = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_"))) for k in range(1, words)), F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_"))))
