@@ -127,7 +127,7 @@ def row_index(spark: SparkSession, d: str) -> DataFrame:
     return M.global_index(_docs(spark, d).select("doc_id"), [M.shuffle_key(7, "doc_id")]).select("doc_id", F.col("_row_idx").alias("row_idx"))
 
 
-_TOK = r"list_filter(regexp_split_to_array(lower(text), '[ ,.?!:;()""\-\n\\]+'), lambda x: x <> '')"
+_TOK = r'''list_filter(regexp_split_to_array(lower(text), '[ ,.?!:;()"\-\n\\]+'), lambda x: x <> '')'''
 _GRAMS = "list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))"
 _NGRAM = f"""WITH it AS (SELECT item_id, {_TOK} AS w FROM benchmark WHERE text IS NOT NULL), ig AS (SELECT item_id, len(w) AS l, unnest({_GRAMS}) AS g, generate_subscripts({_GRAMS}, 1) - 1 AS p FROM it),
 il AS (SELECT item_id, l, g, max(p) AS p FROM ig GROUP BY ALL), tr AS (SELECT doc_id, {_TOK} AS w FROM documents), tg AS (SELECT DISTINCT doc_id, unnest({_GRAMS}) AS g FROM tr),
