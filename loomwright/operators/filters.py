@@ -138,7 +138,7 @@ def messages_to_text(messages: str | Column) -> Column:
 def bad_alternation(messages: str | Column) -> Column:
     """Turns, but for a first system one, do not go user, assistant, user and so on."""
     roles = F.transform(col(messages), lambda m: m["role"])
-    turns = F.when(F.element_at(F.slice(roles, 1, 1), 1) == "system", F.slice(roles, 2, 1_000_000)).otherwise(roles)
+    turns = F.when(F.try_element_at(roles, F.lit(1)) == "system", F.slice(roles, 2, 1_000_000)).otherwise(roles)
     ok = F.forall(F.transform(turns, lambda r, i: F.coalesce(r == F.when(i % 2 == 0, "user").otherwise("assistant"), F.lit(False))), lambda x: x)
     return ~F.coalesce(ok, F.lit(False))
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 def best_and_worst(df: DataFrame, by: list[str], score: str, idx: str, item: str) -> DataFrame:
     """``chosen`` and ``rejected`` of each group; of equal scores the first is chosen, the last rejected.
 
-    Groups of fewer than two, or whose scores are all equal, are left out; null scores do not compete.
+    Rows with one score and place go by the item itself.  Groups of fewer than two, or whose scores are all equal, are left out; null scores do not compete.
     """
     d = df.where(F.col(score).isNotNull())
-    s = F.struct(F.col(score), (-F.col(idx)).alias("i"))
+    s = F.struct(F.col(score), (-F.col(idx)).alias("i"), F.col(item))
     g = d.groupBy(*by).agg(F.max_by(item, s).alias("chosen"), F.min_by(item, s).alias("rejected"), F.max(score).alias("chosen_score"), F.min(score).alias("rejected_score"), F.count("*").alias("n"))
     return g.where("n > 1 and chosen_score > rejected_score").drop("n")
 

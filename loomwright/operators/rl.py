@@ -116,4 +116,4 @@ def separate(labels: str | Column) -> Column:
 
 def advantage_by_mask(mask: str | Column, by_sequence: str | Column) -> Column:
     """Advantage of each token: the mask holds the 1-based sequence it answers, 0 for none."""
-    return F.transform(col(mask), lambda m: F.when(m == 0, F.lit(0.0)).otherwise(F.element_at(col(by_sequence), m)))
+    return F.transform(col(mask), lambda m: F.when(m == 0, F.lit(0.0)).otherwise(F.try_element_at(col(by_sequence), m)))

@@ -79,7 +79,7 @@ RESULT = "custom_id string, response struct<status_code:int, body:struct<choices
 def batch_results(lines: DataFrame, line: str) -> DataFrame:
     """Parsed results: malformed lines, filtered and failed ones are left out; the last of an id stays out of none."""
     r = lines.select(F.from_json(line, RESULT).alias("r")).where("r.custom_id is not null and r.response.status_code = 200")
-    choice = F.element_at("r.response.body.choices", 1)
+    choice = F.try_element_at("r.response.body.choices", F.lit(1))
     return r.where(F.size("r.response.body.choices") > 0).where(F.coalesce(choice["finish_reason"], F.lit("")) != "content_filter").select(
         F.col("r.custom_id").alias("custom_id"), choice["message"]["content"].alias("content"), F.col("r.response.body.usage.prompt_tokens").alias("prompt_tokens"), F.col("r.response.body.usage.completion_tokens").alias("completion_tokens"))
 

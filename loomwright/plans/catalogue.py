@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("conversations", "corpus")
+MODULES: tuple[str, ...] = ("conversations", "corpus", "formats", "training")
 
 
 def queries() -> dict:

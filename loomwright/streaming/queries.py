@@ -7,14 +7,22 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomwright.session import ensure_checkpoint_dir
 
 
 def stream_table(spark: SparkSession, path: str, per_trigger: int = 8) -> DataFrame:
-    """A Parquet folder as a stream of its files."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    """A Parquet file or folder as a stream of its files; times without a zone count as UTC's."""
+    schema = spark.read.parquet(path).schema
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        df = r.parquet(path)
+    else:
+        df = r.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in schema.fields])
 
 
 def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -33,10 +41,10 @@ def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
         return spark.read.schema(df.schema).parquet(f"{root}/data")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/data/n={number}")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/data/part_no={number}")
 
     w.foreachBatch(keep).start().awaitTermination()
-    return spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data/*").drop("n")
+    return spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data/*").drop("part_no")
 
 
 def windowed(df: DataFrame, ts: str, by: list[str], width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
