@@ -211,7 +211,7 @@ def score(name: str | None, prediction: str | None, label: str | None) -> float
         return None
     try:
         return rule(prediction or "", label)
-    except (ValueError, SyntaxError, KeyError, IndexError, TypeError, RecursionError, re.error):
+    except (ValueError, SyntaxError, KeyError, IndexError, TypeError, AttributeError, RecursionError, MemoryError, re.error):
         return 0.0
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.functions import judge as J
 from loomwright.functions import latex as L
@@ -92,7 +93,7 @@ def judge_scores(spark: SparkSession, d: str) -> DataFrame:
     return t.select("n_nationkey", F.round(J.free_score("free"), 6).alias("free"), J.json_score("json").alias("json"), J.judge_score("quality", "json").alias("of_10"), J.decision_score("decision").alias("decision"))
 
 
-@F.udf("boolean", useArrow=True)
+@F.udf(T.BooleanType(), useArrow=True)
 def _equal(a: str, b: str) -> bool:
     return L.equal(a, b)
 
