@@ -44,8 +44,17 @@ def sentences(c: str | Column) -> Column:
     return F.filter(F.transform(F.split(col(c), "[.!?]+"), strip), lambda x: x != "")
 
 
+def once(expression: Column) -> Column:
+    """For ``withColumn``: the value is computed once per row.
+
+    A lambda evaluates the expressions in it for every element, and projections are merged into
+    it; a generator is a border they do not cross.
+    """
+    return F.explode(F.array(expression))
+
+
 def word_ngrams(words: Column, n: int) -> Column:
-    """All runs of ``n`` words joined by a blank; none when there are fewer."""
+    """All runs of ``n`` words joined by a blank; none when there are fewer. ``words``: a column made by ``once``."""
     last = F.size(words) - n
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.functions import checks, latex
-from loomwright.functions.text import after_last, col, final_answer, normalize_answer, split_ws, strip, without_thinking
+from loomwright.functions.text import after_last, col, final_answer, normalize_answer, once, split_ws, strip, without_thinking
 
 # ---- Columns --------------------------------------------------------------------------------
 
@@ -46,16 +46,17 @@ def puzzle(prediction: str | Column, label: str | Column) -> Column:
     return (normalize_answer(without_thinking(prediction)) == normalize_answer(label)).cast("double")
 
 
-def f1(prediction: Column, label: Column) -> Column:
-    """Token F1 of normalised texts: words in common count as often as both have them."""
-    a, b = split_ws(normalize_answer(prediction)), split_ws(normalize_answer(label))
-    common = F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda n, w: n + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
+def f1_of_words(a: Column, b: Column) -> Column:
+    """F1 of two word lists: words in common count as often as both have them.  Give columns made by ``once``."""
+    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, w: n + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
     p, r = common / F.size(a), common / F.size(b)
-    return F.when(common > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+    return F.when(F.size(F.array_intersect(a, b)) > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def string_f1(prediction: str | Column, label: str | Column) -> Column:
-    return f1(after_last(prediction, "</think>"), col(label))
+def string_f1(df: DataFrame, prediction: str, label: str, name: str) -> DataFrame:
+    """Adds token F1 of the normalised texts, of a prediction what follows its reasoning."""
+    words = df.withColumn("_a", once(split_ws(normalize_answer(after_last(prediction, "</think>"))))).withColumn("_b", once(split_ws(normalize_answer(label))))
+    return words.withColumn(name, f1_of_words(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
 def search_exact(prediction: str | Column, labels: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.functions.text import col, word_ngrams
+from loomwright.functions.text import col, once, word_ngrams
 
 #: Fixed value: characters that part words.
 SEPARATORS = r"[ ,.?!:;()\"\-\n\\]+"
@@ -23,16 +23,17 @@ def phrase_matches(train: DataFrame, items: DataFrame, train_key: str, item_key:
     candidates, and the token strings are then searched; null and empty items match nothing.
     Items are grouped by the length of that run, so there is one join key per length.
     """
-    it = items.where(F.col(text).isNotNull()).select(F.col(item_key).alias("_item"), tokens(text).alias("_iw")).where(F.size("_iw") > 0)
+    it = items.where(F.col(text).isNotNull()).select(F.col(item_key).alias("_item"), once(tokens(text)).alias("_iw")).where(F.size("_iw") > 0)
     it = it.withColumn("_n", F.least(F.size("_iw"), F.lit(seed))).withColumn("_gram", F.array_join(F.slice("_iw", 1, F.col("_n")), " "))
     lengths = sorted(r["_n"] for r in it.select("_n").distinct().collect())  # at most `seed` numbers
     if not lengths:
         lengths = [seed]
-    tr = train.where(F.col(text).isNotNull()).select(F.col(train_key).alias("_train"), tokens(text).alias("_tw"))
+    tr = train.where(F.col(text).isNotNull()).select(F.col(train_key).alias("_train"), once(tokens(text)).alias("_tw"))
     grams = F.concat(*[F.array_distinct(word_ngrams(F.col("_tw"), n)) for n in lengths])
-    joined = F.concat(F.lit(" "), F.array_join("_tw", " "), F.lit(" "))
-    cand = tr.select("_train", joined.alias("_text"), F.explode(grams).alias("_gram")).join(it.select("_item", "_gram", F.concat(F.lit(" "), F.array_join("_iw", " "), F.lit(" ")).alias("_phrase")), "_gram")
-    return cand.where(F.contains("_text", "_phrase")).select(F.col("_train").alias(train_key), F.col("_item").alias(item_key)).distinct()
+    pairs = tr.select("_train", F.explode(grams).alias("_gram")).join(it.select("_item", "_gram"), "_gram").select("_train", "_item").distinct()
+    line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    found = pairs.join(it.select("_item", line("_iw").alias("_phrase")), "_item").join(tr.select("_train", line("_tw").alias("_text")), "_train")
+    return found.where(F.contains("_text", "_phrase")).select(F.col("_train").alias(train_key), F.col("_item").alias(item_key)).distinct()
 
 
 def ngram_coverage(train: DataFrame, items: DataFrame, train_key: str, item_key: str, text: str = "text", n: int = 8) -> DataFrame:
@@ -41,9 +42,10 @@ def ngram_coverage(train: DataFrame, items: DataFrame, train_key: str, item_key:
     An n-gram that comes twice in an item counts at its last place only.  Items under ``n``
     words have no n-gram and match nothing.
     """
-    it = items.where(F.col(text).isNotNull()).select(F.col(item_key).alias("_item"), tokens(text).alias("_iw"))
+    it = items.where(F.col(text).isNotNull()).select(F.col(item_key).alias("_item"), once(tokens(text)).alias("_iw"))
     it = it.withColumn("_len", F.size("_iw")).select("_item", "_len", F.posexplode(word_ngrams(F.col("_iw"), n)).alias("_pos", "_gram")).groupBy("_item", "_len", "_gram").agg(F.max("_pos").alias("_pos"))
-    tr = train.where(F.col(text).isNotNull()).select(F.col(train_key).alias("_train"), F.explode(F.array_distinct(word_ngrams(tokens(text), n))).alias("_gram"))
+    tr = train.where(F.col(text).isNotNull()).select(F.col(train_key).alias("_train"), once(tokens(text)).alias("_tw"))
+    tr = tr.select("_train", F.explode(F.array_distinct(word_ngrams(F.col("_tw"), n))).alias("_gram"))
     met = tr.join(it, "_gram").groupBy("_train", "_item", "_len").agg(F.collect_set("_pos").alias("_at"))
     covered = F.aggregate(F.array_sort("_at"), F.struct(F.lit(-n).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(n), p - a["last"])).alias("n")), lambda a: a["n"])
     return met.select(F.col("_train").alias(train_key), F.col("_item").alias(item_key), (covered / F.col("_len")).alias("score"))

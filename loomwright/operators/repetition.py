@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.functions.text import split_ws, word_ngrams
+from loomwright.functions.text import once, split_ws, word_ngrams
 
 # ---- Fixed values -------------------------------------------------------------------------
 SYMBOLS = "=+-*/^()[]{}<>|&~!@#$%\\"
@@ -147,4 +147,5 @@ def islands(df: DataFrame, key: str, items: Column, least: int = 5) -> DataFrame
 
 def repeated_ngrams(df: DataFrame, key: str, text: str, n: int = 3, least: int = 2) -> DataFrame:
     """``key, ngram, n_times`` of lower-cased word n-grams that come ``least`` times or more in a text."""
-    return df.select(key, F.explode(word_ngrams(split_ws(F.lower(text)), n)).alias("ngram")).groupBy(key, "ngram").agg(F.count("*").alias("n_times")).where(F.col("n_times") >= least)
+    words = df.select(key, once(split_ws(F.lower(text))).alias("_w"))
+    return words.select(key, F.explode(word_ngrams(F.col("_w"), n)).alias("ngram")).groupBy(key, "ngram").agg(F.count("*").alias("n_times")).where(F.col("n_times") >= least)

@@ -137,7 +137,7 @@ def reward_gsm8k(spark: SparkSession, d: str) -> DataFrame:
 def reward_f1(spark: SparkSession, d: str) -> DataFrame:
     """Token F1 of each prompt's answers against the prompt."""
     m = table(spark, d, "model_outputs").where("text is not null").select("prompt_hash", "model", "text", F.try_element_at("outputs", F.lit(1))["text"].alias("a")).where("a is not null").distinct()
-    return m.select("prompt_hash", "model", F.round(V.string_f1("a", "text"), 6).alias("f1"))
+    return V.string_f1(m, "a", "text", "f1").select("prompt_hash", "model", F.round("f1", 6).alias("f1"))
 
 
 def reward_length(spark: SparkSession, d: str) -> DataFrame:

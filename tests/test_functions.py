@@ -50,7 +50,7 @@ TEXTS = ["", " ", "The cat, a dog!", "x y x", "<think>a</think>The  <answer>Cat<
 
 def test_columns_follow_python(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS] + [(None,)], "t string").withColumn("y", F.lit("cat"))
-    for r in df.select("t", X.strip("t").alias("s"), X.split_ws("t").alias("w"), X.normalize_answer("t").alias("n"), V.gsm8k("t", F.lit("5.5")).alias("g"), V.string_f1("t", "y").alias("f"), V.string_matcher("t", "y").alias("m"), V.puzzle("t", "y").alias("p"), X.count_words("t").alias("c")).collect():
+    for r in V.string_f1(df, "t", "y", "f").select("t", "f", X.strip("t").alias("s"), X.split_ws("t").alias("w"), X.normalize_answer("t").alias("n"), V.gsm8k("t", F.lit("5.5")).alias("g"), V.string_matcher("t", "y").alias("m"), V.puzzle("t", "y").alias("p"), X.count_words("t").alias("c")).collect():
         if r["t"] is None:
             assert r["s"] is None
             continue
