@@ -138,7 +138,7 @@ def ends_at_dot(s: str, start: int, dot: int, after: int) -> bool:
         return not _lower(n) and last.isalpha() and not (last.islower() or last.isupper()) and len(bare) > 1
     if not bare:
         return True
-    if low in NUMBERED and n.isdigit():
+    if n.isdigit() and (low in NUMBERED or low.endswith("str")):  # the German street with its number
         return False
     if len(bare) == 1 and bare.isalpha():
         before = s[max(start, dot - 8) : dot - 1]

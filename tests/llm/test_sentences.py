@@ -19,6 +19,7 @@ CASES = [
     ("老师问：“书签在哪里？”数据库很大。他说“慢一点。”是最好的。", ["老师问：“书签在哪里？”", "数据库很大。", "他说“慢一点。”是最好的。"]),
     ("「開けるな！」とあり、もう5年です。次。", ["「開けるな！」とあり、もう5年です。", "次。"]),
     ("Am 2. Mai stieg er, z. B. hier. Gut.", ["Am 2. Mai stieg er, z. B. hier.", "Gut."]),
+    ("Sie wohnt in der Kalstr. 28 und prüft. Gut. Er wohnt in der Ostr. Dann", ["Sie wohnt in der Kalstr. 28 und prüft.", "Gut.", "Er wohnt in der Ostr.", "Dann"]),
     ("В 83 г. в городе вышло 4 тыс. копий, т. е. вдвое. Да.", ["В 83 г. в городе вышло 4 тыс. копий, т. е. вдвое.", "Да."]),
     ("कितना अच्छा है! “पहले नापो। फिर।” और चला गया।", ["कितना अच्छा है!", "“पहले नापो। फिर।” और चला गया।"]),
     ("ค่าเพิ่มจาก 18.13 เป็น 52 ก่อน วางตะแกรงไว้", ["ค่าเพิ่มจาก 18.13 เป็น 52 ก่อน", "วางตะแกรงไว้"]),
