@@ -36,6 +36,8 @@ EVIDENCE = {10: 12, 6: 25, 3: 40, 1: 1}
 FLUSH_CHARS = 1 << 21
 #: Log-odds are looked at between these bounds when the threshold is sought.
 LOW, HIGH, STEP = -8.0, 2.0, 0.25
+#: Shift of the threshold for a line without and with a mark that seems to end a sentence.
+NO_END, SEEMING_END = 1.0, -2.0
 
 _MARKS = re.compile(r"<\|[^|<>]*\|>")
 _SPEAKER = re.compile(rf"^\s*[*\[]*(?:{'|'.join(map(re.escape, sorted(SPEAKERS, key=len, reverse=True)))})[*\]]*\s*[:：][*\]]*", re.I | re.M)
@@ -159,16 +161,21 @@ def final_contexts(lang: int, line: str) -> list[int]:
     return [int(((h[-1] ^ salt) & ~np.uint64(1)) >> np.uint64(1)) for _, h in _hashes(a)][::-1]
 
 
-def asked_contexts(lang: int, line: str) -> list[int]:
+def seems_ended(line: str) -> bool:
+    """Whether the rules of sentence boundaries see the end of a sentence."""
+    bare = line.rstrip("\"”»」』）)]’'“› ")
+    return bool(bare) and (bare[-1] in ENDS or (bare[-1] == "." and ends_at_dot(bare + " X", 0, len(bare) - 1, len(bare))))
+
+
+def asked_contexts(lang: int, line: str, ended: bool) -> list[int]:
     """The final contexts that may judge a line; -1 for one that may not.
 
-    Three characters cannot tell the end of a word from an abbreviation, so where the rules
-    of sentence boundaries see the end of a sentence, only longer contexts or the mark alone
-    speak.  The last letter alone says nothing about a list item.
+    Three characters cannot tell the end of a word from an abbreviation, so behind a seeming end
+    only longer contexts speak.  The last letter alone says nothing about a list item.
     """
     found = final_contexts(lang, line)
-    if line[-1] in ENDS or (line[-1] == "." and ends_at_dot(line + " X", 0, len(line) - 1, len(line))):
-        found[ORDERS.index(3)] = -1
+    if ended:
+        found[ORDERS.index(3)] = found[ORDERS.index(1)] = -1
     elif _LIST_LINE.match(line):
         found[ORDERS.index(1)] = -1
     return found
@@ -208,9 +215,11 @@ def log_odds(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
             verdicts = [shape_verdict(t) for t in b["_t"]]
             lines = [_last_line(t) if v in ("model", "name") else "" for v, t in zip(verdicts, b["_t"])]
             langs = [_line_language(x, t) if x else -1 for x, t in zip(lines, b["_t"])]
+            ends = [bool(x) and seems_ended(x) for x in lines]
+            verdicts = ["ended" if v == "model" and e else v for v, e in zip(verdicts, ends)]
             out = b[keys].copy()
             out["lang"], out["verdict"] = langs, verdicts
-            out["ctxs"] = [asked_contexts(g, x) if g >= 0 else [] for g, x in zip(langs, lines)]
+            out["ctxs"] = [asked_contexts(g, x, e) if g >= 0 else [] for g, x, e in zip(langs, lines, ends)]
             yield out
 
     d = texts.select(*keys, F.col(text).alias("_t")).where(F.col("_t").isNotNull())
@@ -228,7 +237,7 @@ def log_odds(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 def thresholds(odds: DataFrame) -> dict[int, float]:
     """Per language, the point halfway between the two groups of log-odds (isodata on a histogram)."""
     clipped = F.least(F.greatest(F.col("lo"), F.lit(LOW)), F.lit(HIGH))
-    rows = odds.where((F.col("verdict") == "model") & F.col("lo").isNotNull()).groupBy("lang", F.floor((clipped - LOW) / STEP).alias("b")).count().collect()
+    rows = odds.where(F.col("verdict").isin("model", "ended") & F.col("lo").isNotNull()).groupBy("lang", F.floor((clipped - LOW) / STEP).alias("b")).count().collect()
     out: dict[int, float] = {}
     for lang in {r["lang"] for r in rows}:
         x = np.array([LOW + (r["b"] + 0.5) * STEP for r in rows if r["lang"] == lang])
@@ -258,8 +267,10 @@ def truncated(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     limit: Column = F.lit(-3.0)
     for lang, t in limits.items():
         limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
+    lo = F.coalesce(F.col("lo"), F.lit(0.0))
     name_goes_on = (F.col("verdict") == "name") & (F.col("o") == 0) & (F.col("lo") < limit)
-    cut = (F.col("verdict") == "cut") | ((F.col("verdict") == "model") & (F.coalesce(F.col("lo"), F.lit(0.0)) < limit)) | name_goes_on
+    # A seeming end of a sentence shifts the odds one way, its absence the other.
+    cut = (F.col("verdict") == "cut") | ((F.col("verdict") == "model") & (lo < limit + NO_END)) | ((F.col("verdict") == "ended") & (lo < limit + SEEMING_END)) | name_goes_on
     return odds.groupBy(*keys).agg(F.bool_or(cut).alias("cut"))
 
 
