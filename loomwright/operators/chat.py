@@ -263,3 +263,60 @@ def truncate_messages(messages: str | Column, budget: int, size: Callable[[Colum
         lambda a: a["kept"],
     )
     return F.transform(F.array_sort(fold), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+
+
+def prompt_of(messages: str | Column, system: str | None = None) -> Column:
+    """The turns a model is asked with: not a last assistant turn behind others; a given system prompt replaces one."""
+    m = col(messages)
+    last = F.try_element_at(m, F.lit(-1))
+    p = F.when((F.size(m) > 1) & (last["role"] == "assistant"), F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0)))).otherwise(m)
+    if system is None:
+        return p
+    rest = F.when(F.coalesce(F.try_element_at(p, F.lit(1))["role"] == "system", F.lit(False)), F.slice(p, 2, 1_000_000)).otherwise(p)
+    return F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), rest)
+
+
+def raw_prompt(messages: str | Column) -> Column:
+    """``role: content`` lines."""
+    return F.array_join(F.transform(col(messages), lambda m: F.concat_ws(": ", m["role"], F.coalesce(m["content"], F.lit("")))), "\n")
+
+
+def encode_column(text: str | Column, tokenizer: Tokenizer, pad: int | None = None) -> Column:
+    """Token ids of a text, without padding tokens; empty for null."""
+
+    @F.udf(T.ArrayType(T.IntegerType()), useArrow=True)
+    def ids(s: str) -> list[int]:
+        if not s:
+            return []
+        enc = _made.get(tokenizer.name) or _made.setdefault(tokenizer.name, tokenizer.make())
+        return [x for x in enc(s) if x != pad]
+
+    return ids(text)
+
+
+_made: dict[str, Callable] = {}
+
+
+def prompt_tokens(df: DataFrame, key: str, messages: str, tokenizer: Tokenizer, template: str = "tagged_thinker", system: str | None = None, longest: int | None = None) -> DataFrame:
+    """``key, input_ids_prompt, prompt``: tokens with a generation prompt, and the raw prompt; longer ones go."""
+    p = df.where(F.size(messages) > 0).select(key, prompt_of(messages, system).alias("_p"))
+    out = p.select(key, encode_column(render("_p", template, add_generation=True), tokenizer).alias("input_ids_prompt"), raw_prompt("_p").alias("prompt"))
+    return out if longest is None else out.where(fits("input_ids_prompt", longest))
+
+
+def preference_tokens(df: DataFrame, key: str, chosen: str, rejected: str, tokenizer: Tokenizer, masking: Masking) -> DataFrame:
+    """Both sides tokenized and masked alike; a pair stays when both have a label left."""
+    sides = []
+    for name, c in (("chosen", chosen), ("rejected", rejected)):
+        t = tokenize_masked(df, key, c, tokenizer, masking)
+        sides.append(t.select(key, *[F.col(x).alias(f"{name}_{x}") for x in ("input_ids", "labels", "attention_mask")]))
+    return sides[0].join(sides[1], key).where(has_labels("chosen_labels") & has_labels("rejected_labels"))
+
+
+def last_user_query(text: str | Column) -> Column:
+    """The user turn before the assistant starts to think, in tagged or bracketed chats; the whole text if there is none."""
+    t = col(text)
+    tagged = F.regexp_extract_all(t, F.lit(r"(?s)<\|user\|>\n((?:(?!<\|user\|>).)*?)\n<\|assistant\|>\n<think>"), F.lit(1))
+    bracketed = F.regexp_extract_all(t, F.lit(r"(?s)<\|im_start\|>user\n((?:(?!<\|im_start\|>).)*?)(?:\n<functions>.*?</functions>)?<\|im_end\|>\n(?=.*?<\|im_start\|>assistant\n<think>)"), F.lit(1))
+    found = F.concat(tagged, bracketed)
+    return F.when(F.size(found) > 0, F.trim(F.try_element_at(found, F.lit(-1)))).otherwise(t)

@@ -114,3 +114,46 @@ def chunk_dialogue(messages: str | Column, size: Callable[[Column], Column], mos
         return F.when(w > most, F.struct(a["n"].alias("n"), a["now"].alias("now"), a["out"].alias("out"))).when(a["n"] + w <= most, same).otherwise(fresh)
 
     return F.aggregate(pairs, start, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["out"], F.array(a["now"]))).otherwise(a["out"]))
+
+
+# ---- Fixed values: where public corpora keep prompt and answer -------------------------------
+CORPORA = {
+    "aya": ("inputs", "targets"), "flan": ("inputs", "targets"), "coconot": ("prompt", "response"), "codefeedback": ("query", "answer"),
+    "evol_codealpaca": ("instruction", "response"), "metamath": ("query", "response"), "open_math_instruct": ("problem", "generated_solution"),
+    "table_gpt": ("prompt", "completion"), "web_instruct": ("question", "answer"), "open_code_reasoner": ("input", "output"),
+}
+DIALOGUES = {"daring_anteater": "conversations", "sharegpt": "conversations", "slim_orca": "conversations", "wizardlm": "conversations"}
+READY = {"lmsys_chat": "conversation", "no_robots": "messages", "numinamath": "messages", "sciriff": "messages", "wildchat": "conversation"}
+# ---------------------------------------------------------------------------------------------
+
+
+def corpus(df: DataFrame, name: str, source: str | None = None) -> DataFrame:
+    """``id, source, messages`` of a corpus by its name; rows without prompt or answer stay, for the filters."""
+    if name in CORPORA:
+        m = turns(("user", CORPORA[name][0]), ("assistant", CORPORA[name][1]))
+    elif name in DIALOGUES:
+        m = F.filter(conversation(DIALOGUES[name]), lambda x: ~((x["role"] == "system") & (F.trim(F.coalesce(x["content"], F.lit(""))) == "")))
+    elif name == "lima":
+        m = alternating("conversations")
+    elif name in READY:
+        m = F.transform(READY[name], lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    else:
+        raise ValueError(f"unknown corpus {name}")
+    key = F.col("id").cast("string") if "id" in df.columns else F.md5(F.to_json(m))
+    return df.select(F.concat_ws("_", F.lit(name), key).alias("id"), F.lit(source or name).alias("source"), m.alias("messages"))
+
+
+def after_trajectory(trajectory: str | Column, answer: str | Column) -> Column:
+    """The turns so far and an answer."""
+    return F.concat(F.transform(col(trajectory), lambda t: F.struct(F.when(t["from"] == "user", "user").otherwise("assistant").alias("role"), t["value"].alias("content"))), F.array(message("assistant", col(answer))))
+
+
+def numbered(quotes: str | Column) -> Column:
+    """``1. ..`` paragraphs of a list of quotes, '' for none."""
+    return F.coalesce(F.array_join(F.transform(col(quotes), lambda q, i: F.concat((i + 1).cast("string"), F.lit(". "), q)), "\n\n"), F.lit(""))
+
+
+def few_shot(examples: list[tuple[str, str]], prompt: str | Column, question: str = "Question: ", answer: str = "Answer: ") -> Column:
+    """Examples before a prompt, as plain text."""
+    head = "".join(f"{question}{q}\n{answer}{a}\n\n" for q, a in examples)
+    return F.concat(F.lit(head + question), col(prompt), F.lit("\n" + answer.rstrip()))

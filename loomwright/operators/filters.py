@@ -164,3 +164,26 @@ def first_reason(**filters: Column) -> Column:
     for name, removes in reversed(filters.items()):
         reason = F.when(removes, F.lit(name)).otherwise(reason)
     return reason
+
+
+def carries_tag(tags: str | Column, removed: list[str], spellings: dict[str, list[str]] | None = None) -> Column:
+    """Some tag is to be removed, in any of its spellings; rows without tags stay."""
+    names = [s for t in removed for s in [t, *(spellings or {}).get(t, [])]]
+    return F.coalesce(F.arrays_overlap(col(tags), F.array(*[F.lit(n) for n in names])), F.lit(False)) if names else F.lit(False)
+
+
+def unfinished_dialogue(messages: str | Column) -> Column:
+    """A turn is empty, or the last one is not the assistant's."""
+    last = F.try_element_at(F.transform(col(messages), lambda m: m["role"]), F.lit(-1))
+    return has_empty_message(messages) | ~F.coalesce(last == "assistant", F.lit(False))
+
+
+def holds_role_marks(text: str | Column) -> Column:
+    """A response that goes on to speak for others."""
+    return F.coalesce(col(text).contains("Human:") | col(text).contains("Assistant:"), F.lit(True))
+
+
+def passed_tests(tests: str | Column, results: str | Column, least: float = 0.85) -> Column:
+    """The tests that were passed, null where fewer than the share were."""
+    kept = F.transform(F.filter(F.arrays_zip(col(tests).alias("t"), col(results).alias("r")), lambda z: z["r"] == 1), lambda z: z["t"])
+    return F.when(F.size(kept) >= least * F.size(col(tests)), kept)

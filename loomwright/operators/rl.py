@@ -117,3 +117,62 @@ def separate(labels: str | Column) -> Column:
 def advantage_by_mask(mask: str | Column, by_sequence: str | Column) -> Column:
     """Advantage of each token: the mask holds the 1-based sequence it answers, 0 for none."""
     return F.transform(col(mask), lambda m: F.when(m == 0, F.lit(0.0)).otherwise(F.try_element_at(col(by_sequence), m)))
+
+
+def pack_sequences(df: DataFrame, by: str, order: str, query: str, response: str, mask: str, logprobs: str, capacity: int, pad: int, mask_tools: bool = False) -> DataFrame:
+    """Packs of query and response tokens with all that training reads, one row per pack.
+
+    Sequences go in order into the open pack and are never split; one that does not fit closes
+    it, also an empty one.  Padding tokens go, with their mask and log-probability.  The
+    response mask holds the 1-based number of the sequence in its shard, the attention mask its
+    number in the pack; log-probabilities of query tokens are null; the last token of a sequence
+    carries its number in ``dones``.  ``by`` names shards of bounded size.
+    """
+    kinds = dict(df.dtypes)
+
+    def arrays(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> dict:
+        cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
+        sizes = [len(q) + len(r) for _, q, r, _, _ in rows]
+        return {
+            "query_responses": cat([np.concatenate([q, r]) for _, q, r, _, _ in rows], np.int32),
+            "attention_mask": np.repeat(np.arange(1, len(rows) + 1, dtype=np.int32), sizes),
+            "position_ids": cat([np.arange(n) for n in sizes], np.int32),
+            "response_mask": cat([np.concatenate([np.zeros(len(q)), (m != 0) * n if mask_tools else np.full(len(r), n)]) for n, q, r, m, _ in rows], np.int64),
+            "logprobs": cat([np.concatenate([np.full(len(q), np.nan), p]) for _, q, r, _, p in rows], np.float64),
+            "dones": cat([np.append(np.zeros(k - 1), n) if k else np.zeros(0) for (n, *_), k in zip(rows, sizes)], np.int64),
+            "num_actions": np.array([len(r) for _, _, r, _, _ in rows], dtype=np.int32),
+            "seq_lens": np.array(sizes, dtype=np.int32),
+        }
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        packs, now, fill = [], [], 0
+        for n, row in enumerate(pdf.itertuples(index=False), 1):
+            q, r = np.asarray(getattr(row, query), dtype=np.int64), np.asarray(getattr(row, response), dtype=np.int64)
+            m, p = np.asarray(getattr(row, mask)), np.asarray(getattr(row, logprobs), dtype=np.float64)
+            if not len(r) == len(m) == len(p):
+                raise ValueError("response, mask and log-probabilities differ in length")
+            q, kept = q[q != pad], r != pad
+            if fill + len(q) + kept.sum() > capacity:
+                packs.append(now)
+                now, fill = [], 0
+            now.append((n, q, r[kept], m[kept], p[kept]))
+            fill += len(q) + int(kept.sum())
+        packs += [now] if fill else []
+        return pd.DataFrame([{by: pdf[by].iloc[0], "pack": k, **arrays(rows)} for k, rows in enumerate(packs)])
+
+    ints, longs = "array<int>", "array<bigint>"
+    schema = f"{by} {kinds[by]}, pack int, query_responses {ints}, attention_mask {ints}, position_ids {ints}, response_mask {longs}, logprobs array<double>, dones {longs}, num_actions {ints}, seq_lens {ints}"
+    return df.select(by, order, query, response, mask, logprobs).groupBy(by).applyInPandas(run, schema)
+
+
+def flatten_batch(df: DataFrame, by: str, order: str, ids: str, labels: str) -> DataFrame:
+    """Sequences of a batch laid end to end: tokens, labels with -100 at each start, positions, sequence numbers, ends."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ids).alias("i"), F.col(labels).alias("l"))))
+    b = df.groupBy(by).agg(rows.alias("x"))
+    lens = F.transform("x", lambda r: F.size(r["i"]))
+    return b.select(
+        by, F.flatten(F.transform("x", lambda r: r["i"])).alias("input_ids"), F.flatten(F.transform("x", lambda r: separate(r["l"]))).alias("labels"),
+        position_ids(lens).alias("position_ids"), F.flatten(F.transform("x", lambda r, k: F.array_repeat(k, F.size(r["i"])))).alias("seq_idx"),
+        cumulative_lengths(lens).alias("cu_seq_lens"), F.array_max(lens).alias("max_length"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("conversations", "corpus", "formats", "training")
+MODULES: tuple[str, ...] = ("conversations", "corpus", "formats", "more", "training")
 
 
 def queries() -> dict:

@@ -235,3 +235,47 @@ def test_statistics(spark):
     d = {r["c"]: r for r in S.describe(df, ["c"], {"n": F.col("n")}).collect()}
     assert d["a"]["n_p50"] == 2.0 and d["b"]["n_std"] is None
     assert S.describe(df.limit(0), ["c"], {"n": F.col("n")}).count() == 0
+
+
+def test_pack_sequences(spark):
+    rows = [("s", 0, [1, 2, 3], [10, 11, 12], [1, 0, 1], [0.1, 0.2, 0.3]), ("s", 1, [4, 5, 0], [20, 21], [0, 1], [0.4, 0.5])]
+    df = spark.createDataFrame(rows, "s string, i long, q array<int>, r array<int>, m array<int>, p array<double>")
+    for tools, masks in ((True, [[0, 0, 0, 1, 0, 1], [0, 0, 0, 2]]), (False, [[0, 0, 0, 1, 1, 1], [0, 0, 2, 2]])):
+        got = sorted(rl.pack_sequences(df, "s", "i", "q", "r", "m", "p", 8, 0, tools).collect(), key=lambda x: x["pack"])
+        assert [g["query_responses"] for g in got] == [[1, 2, 3, 10, 11, 12], [4, 5, 20, 21]]
+        assert [g["response_mask"] for g in got] == masks
+        assert [g["dones"] for g in got] == [[0, 0, 0, 0, 0, 1], [0, 0, 0, 2]] and got[0]["num_actions"] == [3]
+        assert got[0]["logprobs"][:3] == [None] * 3 and got[0]["logprobs"][3:] == [0.1, 0.2, 0.3]
+    one = rl.pack_sequences(df, "s", "i", "q", "r", "m", "p", 32, 0).first()
+    assert one["attention_mask"] == [1] * 6 + [2] * 4 and one["position_ids"] == [0, 1, 2, 3, 4, 5, 0, 1, 2, 3] and one["seq_lens"] == [6, 4]
+    over = rl.pack_sequences(df, "s", "i", "q", "r", "m", "p", 5, 0).collect()
+    assert sorted(len(g["query_responses"]) for g in over) == [0, 4, 6]
+
+
+def test_flattened(spark):
+    df = spark.createDataFrame([(1, 0, [5, 6], [5, 6]), (1, 1, [7], [7])], "b long, i long, x array<int>, y array<int>")
+    r = rl.flatten_batch(df, "b", "i", "x", "y").first()
+    assert (r["input_ids"], r["labels"], r["position_ids"], r["seq_idx"], r["cu_seq_lens"], r["max_length"]) == ([5, 6, 7], [-100, 6, -100], [0, 1, 0], [0, 0, 1], [0, 2, 3], 2)
+
+
+def test_prompts_and_queries(spark):
+    df = spark.createDataFrame([(1, MS), (2, MS[:1]), (3, [{"role": "system", "content": "S"}, *MS])], MSG)
+    got = {r["id"]: [m["role"] for m in r["p"]] for r in df.select("id", C.prompt_of("messages", "N").alias("p")).collect()}
+    assert got == {1: ["system", "user", "assistant", "user"], 2: ["system", "user"], 3: ["system", "user", "assistant", "user"]}
+    t = C.prompt_tokens(df, "id", "messages", C.byte_tokenizer(), "tagged", None, 20).collect()
+    assert [(r["id"], bytes(r["input_ids_prompt"]).decode()) for r in t] == []
+    texts = ["<|user|>\na\n<|assistant|>\nb</s>\n<|user|>\nq?\n<|assistant|>\n<think>x", "<|im_start|>user\nq!<|im_end|>\n<|im_start|>assistant\n<think>", "plain"]
+    assert [r["q"] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(C.last_user_query("t").alias("q")).collect()] == ["q?", "q!", "plain"]
+    pair = spark.createDataFrame([(1, MS, MS), (2, MS, [])], "id long, a array<struct<role:string,content:string>>, b array<struct<role:string,content:string>>")
+    assert [r["id"] for r in C.preference_tokens(pair, "id", "a", "b", C.byte_tokenizer(), C.Masking("last")).collect()] == [1]
+
+
+def test_tags_and_tests(spark):
+    df = spark.createDataFrame([(1, ["Old"]), (2, ["x"]), (3, None), (4, [])], "k long, tags array<string>")
+    assert [r["k"] for r in df.where(~Q.carries_tag("tags", ["old"], {"old": ["Old"]})).collect()] == [2, 3, 4]
+    t = spark.createDataFrame([(["a", "b"], [1, 0]), (["a", "b"], [1, 1]), ([], [])], "t array<string>, r array<int>").select(Q.passed_tests("t", "r").alias("p")).collect()
+    assert [r["p"] for r in t] == [None, ["a", "b"], []]
+    c = spark.createDataFrame([(1, ["q1", "q2"], ["user", "bot"])], "id long, q array<string>, r array<string>").select(CV.numbered("q").alias("n"), CV.few_shot([("1+1", "2")], F.lit("2+2")).alias("f")).first()
+    assert c["n"] == "1. q1\n\n2. q2" and c["f"] == "Question: 1+1\nAnswer: 2\n\nQuestion: 2+2\nAnswer:"
+    with pytest.raises(ValueError):
+        CV.corpus(df, "nothing")
