@@ -7,6 +7,8 @@ Scripts settle most languages.  Latin ones are told apart by function words and
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 
@@ -36,10 +38,19 @@ for _k, _l in enumerate(LATIN):
 _MARKED = [(k, re.compile(f"[{ONLY_LETTERS[lang]}]")) for k, lang in enumerate(LATIN) if lang in ONLY_LETTERS]
 
 
+@lru_cache(maxsize=1 << 16)
+def _script_of(c: str) -> str:
+    return next((name for name, p in _SCRIPT if p.match(c)), "")
+
+
 def script_counts(text: str) -> dict[str, int]:
     if text.isascii():
-        return {"latin": sum(map(str.isalpha, text))}
-    return {name: n for name, p in _SCRIPT if (n := len(p.findall(text)))}
+        return {"latin": 1} if _LATIN_WORD.search(text) else {}
+    out: dict[str, int] = {}
+    for c, n in Counter(text).items():
+        if name := _script_of(c):
+            out[name] = out.get(name, 0) + n
+    return out
 
 
 def latin_votes(text: str) -> np.ndarray:
