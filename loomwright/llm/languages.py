@@ -55,7 +55,7 @@ def script_counts(text: str) -> dict[str, int]:
 
 def latin_votes(text: str) -> np.ndarray:
     """Weight of evidence for each Latin language from function words and letters."""
-    v = np.zeros(len(LATIN))
+    v = [0.0] * len(LATIN)
     low = text.lower()
     for w in _LATIN_WORD.findall(low):
         if ks := _LOOKUP.get(w):
@@ -64,7 +64,7 @@ def latin_votes(text: str) -> np.ndarray:
     if not low.isascii():
         for k, p in _MARKED:
             v[k] += 0.8 * min(3, len(p.findall(low)))
-    return v
+    return np.array(v)
 
 
 def script_language(text: str) -> str:

@@ -154,11 +154,15 @@ def _last_line(text: str) -> str:
     return _bare(text.rstrip().splitlines()[-1]) or " "
 
 
-def final_contexts(lang: int, line: str) -> list[int]:
-    """Hashes of the final contexts of a line, longest order first."""
-    a = _codes([line])
-    salt = np.uint64((lang + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
-    return [int(((h[-1] ^ salt) & ~np.uint64(1)) >> np.uint64(1)) for _, h in _hashes(a)][::-1]
+def final_contexts(langs: list[int], lines: list[str]) -> np.ndarray:
+    """Hashes of the final contexts of lines, one row per line, longest order first."""
+    if not lines:
+        return np.zeros((0, len(ORDERS)), dtype=np.int64)
+    a = _codes(lines)
+    ends = np.cumsum([len(_PADDING) + len(x) for x in lines]) - 1
+    with np.errstate(over="ignore"):
+        salt = (np.array(langs, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+    return np.stack([(((h[ends] ^ salt) & ~np.uint64(1)) >> np.uint64(1)).astype(np.int64) for _, h in _hashes(a)][::-1], axis=1)
 
 
 def seems_ended(line: str) -> bool:
@@ -167,13 +171,12 @@ def seems_ended(line: str) -> bool:
     return bool(bare) and (bare[-1] in ENDS or (bare[-1] == "." and ends_at_dot(bare + " X", 0, len(bare) - 1, len(bare))))
 
 
-def asked_contexts(lang: int, line: str, ended: bool) -> list[int]:
+def asked_contexts(found: list[int], line: str, ended: bool) -> list[int]:
     """The final contexts that may judge a line; -1 for one that may not.
 
     Three characters cannot tell the end of a word from an abbreviation, so behind a seeming end
     only longer contexts speak.  The last letter alone says nothing about a list item.
     """
-    found = final_contexts(lang, line)
     if ended:
         found[ORDERS.index(3)] = found[ORDERS.index(1)] = -1
     elif _LIST_LINE.match(line):
@@ -219,7 +222,12 @@ def log_odds(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
             verdicts = ["ended" if v == "model" and e else v for v, e in zip(verdicts, ends)]
             out = b[keys].copy()
             out["lang"], out["verdict"] = langs, verdicts
-            out["ctxs"] = [asked_contexts(g, x, e) if g >= 0 else [] for g, x, e in zip(langs, lines, ends)]
+            asked = [i for i, g in enumerate(langs) if g >= 0]
+            found = final_contexts([langs[i] for i in asked], [lines[i] for i in asked]).tolist()
+            ctxs: list[list[int]] = [[] for _ in langs]
+            for i, f in zip(asked, found):
+                ctxs[i] = asked_contexts(f, lines[i], ends[i])
+            out["ctxs"] = ctxs
             yield out
 
     d = texts.select(*keys, F.col(text).alias("_t")).where(F.col("_t").isNotNull())
