@@ -320,3 +320,27 @@ def last_user_query(text: str | Column) -> Column:
     bracketed = F.regexp_extract_all(t, F.lit(r"(?s)<\|im_start\|>user\n((?:(?!<\|im_start\|>).)*?)(?:\n<functions>.*?</functions>)?<\|im_end\|>\n(?=.*?<\|im_start\|>assistant\n<think>)"), F.lit(1))
     found = F.concat(tagged, bracketed)
     return F.when(F.size(found) > 0, F.trim(F.try_element_at(found, F.lit(-1)))).otherwise(t)
+
+
+def messages_of(df: DataFrame, key: str, messages: str, role: str = "user") -> DataFrame:
+    """``key, pos, text``: one row per message of a role, as a text index takes them."""
+    return df.select(key, F.posexplode(messages).alias("pos", "m")).where((F.col("m.role") == role) & F.col("m.content").isNotNull()).select(key, "pos", F.col("m.content").alias("text"))
+
+
+def truncate_tokens(text: str | Column, tokenizer: Tokenizer, budget: int, decode: Callable[[list[int]], str]) -> Column:
+    """The text of the first ``budget`` tokens; a shorter text stays as it is."""
+
+    @F.udf(T.StringType(), useArrow=True)
+    def cut(s: str) -> str:
+        if not s:
+            return s
+        enc = _made.get(tokenizer.name) or _made.setdefault(tokenizer.name, tokenizer.make())
+        ids = enc(s)
+        return s if len(ids) <= budget else decode(ids[:budget])
+
+    return cut(text)
+
+
+def within_context(n_tokens: str | Column, answer_tokens: int, window: int, margin: int = 0) -> Column:
+    """Whether prompt, answer and a margin fit a context window."""
+    return F.coalesce(col(n_tokens) + answer_tokens + margin <= window, F.lit(False))

@@ -156,3 +156,39 @@ def global_index(df: DataFrame, order: list[Column], by: list[str] | None = None
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_start"))
     return placed.join(F.broadcast(before), "_part").withColumn("_row_idx", F.col("_start") + F.col("_in")).drop("_part", "_in", "_m", "_start")
+
+
+def zip_rows(a: DataFrame, b: DataFrame, order_a: list[Column], order_b: list[Column]) -> DataFrame:
+    """The n-th row of one table beside the n-th of the other; a longer table's rest is left out.
+
+    Both get their places before anything is dropped, so no row is shifted against its partner.
+    Columns of ``b`` that clash carry ``_b``.
+    """
+    x, y = global_index(a, order_a), global_index(b, order_b)
+    y = y.withColumnsRenamed({c: f"{c}_b" for c in b.columns if c in a.columns})
+    return x.join(y, "_row_idx").drop("_row_idx")
+
+
+def sample_groups(df: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """Exactly ``n`` rows, by hash, of every group that has as many."""
+    w = Window.partitionBy(by)
+    full = df.withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= n).drop("_n")
+    return take_per_group(full, [by], [shuffle_key(seed, key), col(key)], n)
+
+
+def worker_batches(df: DataFrame, order: list[Column], world: int, per_batch: int, drop_last: bool = True) -> DataFrame:
+    """``rank`` and ``batch`` of every row: equal shares of a permuted order, then batches of each.
+
+    With ``drop_last`` rows over a multiple of the world's size go, and so does a short last batch.
+    """
+    x = global_index(df, order)
+    x = x.withColumn("rank", (F.col("_row_idx") % world).cast("int")).withColumn("_at", F.floor(F.col("_row_idx") / world)).withColumn("batch", F.floor(F.col("_at") / per_batch))
+    if drop_last:
+        n = df.count() // world
+        x = x.where((F.col("_at") < n) & (F.col("batch") < n // per_batch))
+    return x.drop("_at")
+
+
+def by_length(df: DataFrame, length: Column, parts: int | None = None) -> DataFrame:
+    """Rows of similar length side by side in each partition, for padded batches; the set of rows is the same."""
+    return (df.repartition(parts) if parts else df).sortWithinPartitions(length.desc())

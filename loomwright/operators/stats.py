@@ -111,3 +111,25 @@ def nan_mean(df: DataFrame, by: list[str], ratings: str) -> DataFrame:
 def wide(df: DataFrame, by: list[str], column: str, values: list[str], value: str) -> DataFrame:
     """One column per value with the first (least) entry, '' where there is none."""
     return df.groupBy(*by).pivot(column, values).agg(F.min(col(value))).na.fill("", values)
+
+
+def reward_metrics(df: DataFrame, by: list[str], parts: str) -> DataFrame:
+    """Per verifier of a map of rewards: mean, and share above zero."""
+    x = df.select(*by, F.explode(parts).alias("verifier", "r"))
+    return x.groupBy(*by, "verifier").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean_reward"), F.round(F.avg((F.col("r") > 0).cast("double")), 6).alias("correct_rate"))
+
+
+def dataset_report(kept: DataFrame, before: DataFrame, source: str, ids: str, labels: str) -> DataFrame:
+    """Per dataset: rows before and after, tokens, trained tokens, mean length, and its share of all tokens in percent."""
+    trained = F.size(F.filter(labels, lambda x: x != -100))
+    a = kept.groupBy(source).agg(F.count("*").alias("final_rows"), F.sum(F.size(ids)).alias("tokens"), F.sum(trained).alias("trained_tokens"), F.round(F.avg(F.size(ids)), 6).alias("mean_tokens"))
+    b = before.groupBy(F.col(source).alias("_s")).agg(F.count("*").alias("initial_rows"))
+    j = b.join(a, b["_s"].eqNullSafe(a[source]), "left").select(F.col("_s").alias(source), "initial_rows", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("final_rows", "tokens", "trained_tokens", "mean_tokens")])
+    return with_percent(j.withColumn("filtered_rows", F.col("initial_rows") - F.col("final_rows")), "tokens")
+
+
+def markdown_table(df: DataFrame, order: str) -> str:
+    """A report as a markdown table; reports are small."""
+    rows = df.orderBy(order).collect()
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    return "\n".join(lines + ["| " + " | ".join("" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x) for x in r) + " |" for r in rows])

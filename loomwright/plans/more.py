@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loomwright.operators import chat as C
 from loomwright.operators import convert as CV
 from loomwright.operators import filters as Q
+from loomwright.operators import mix as M
 from loomwright.operators import rl as R
+from loomwright.operators import stats as S
 from loomwright.sources.tables import table
 
 
@@ -87,6 +89,38 @@ def code_rewards(spark: SparkSession, d: str) -> DataFrame:
     return t.select("l_orderkey", F.round(V.code_score(ok, s, 0.5, 0.2, False), 6).alias("plain"), F.round(V.code_score(ok, s, 0.5, 0.2, True), 8).alias("penalised"))
 
 
+def user_messages(spark: SparkSession, d: str) -> DataFrame:
+    """User messages as rows of a text index."""
+    return C.messages_of(table(spark, d, "reformat_datasets").where("id is not null and messages is not null").select("id", "messages").distinct(), "id", "messages").select("id", F.col("pos").cast("int").alias("pos"), F.md5("text").alias("h"))
+
+
+def zipped(spark: SparkSession, d: str) -> DataFrame:
+    """Customers beside suppliers, by their places."""
+    c, s = table(spark, d, "customer").select("c_custkey"), table(spark, d, "supplier").select("s_suppkey", "s_name")
+    return M.zip_rows(c, s, [F.col("c_custkey").desc()], [F.col("s_suppkey")])
+
+
+def sampled_groups(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return M.sample_groups(o, "o_custkey", "o_orderkey", 4)
+
+
+def worker_batches(spark: SparkSession, d: str) -> DataFrame:
+    b = M.worker_batches(table(spark, d, "orders").select("o_orderkey"), [M.shuffle_key(3, "o_orderkey")], 4, 32)
+    return b.groupBy("rank").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.max("batch").alias("last"))
+
+
+def dataset_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and tokens per source before and after a length filter."""
+    t = table(spark, d, "tokenized_sft").where("input_ids is not null").select("source", "seq_id", "input_ids", "labels").distinct()
+    return S.dataset_report(t.where(C.fits("input_ids", 256) & C.has_labels("labels")), t, "source", "input_ids", "labels")
+
+
+def verifier_metrics(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_brand", F.create_map(F.lit("size"), (F.col("p_size") % 3).cast("double"), F.lit("key"), (F.col("p_partkey") % 2).cast("double")).alias("parts"))
+    return S.reward_metrics(p, ["p_brand"], "parts")
+
+
 _S = "(SELECT DISTINCT coalesce(source, 'none') AS source, seq_id, input_ids, labels FROM tokenized_sft WHERE len(input_ids) > 4)"
 _P = "CASE WHEN len(messages) > 1 AND messages[-1].role = 'assistant' THEN messages[1:len(messages) - 1] ELSE messages END"
 _C = "(SELECT DISTINCT id, messages FROM reformat_datasets WHERE id IS NOT NULL AND len(messages) > 0)"
@@ -103,4 +137,10 @@ QUERIES = {
     "unfinished": (unfinished, r"SELECT id, source FROM reformat_datasets WHERE id IS NOT NULL AND messages IS NOT NULL AND (len(list_filter(messages, lambda m: m.content IS NULL OR regexp_replace(m.content, '^[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+', '') = '')) > 0 OR coalesce(messages[-1].role, '') <> 'assistant')"),
     "kept_tests": (kept_tests, "SELECT l_orderkey, CAST(count(*) AS INT) AS n, CAST(count(*) FILTER (l_returnflag <> 'R') AS INT) AS n_kept FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag <> 'R') >= 0.6 * count(*)"),
     "code_rewards": (code_rewards, "WITH g AS (SELECT l_orderkey, avg(CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE 1.0 END) AS p, avg(greatest(0, 1 - l_discount / 0.2)) AS u FROM lineitem GROUP BY 1), s AS (SELECT *, CASE WHEN p < 0.5 THEN 0 ELSE p END AS s FROM g) SELECT l_orderkey, round(s, 6) AS plain, round(s * u, 8) AS penalised FROM s"),
+    "user_messages": (user_messages, "WITH c AS (SELECT DISTINCT id, messages FROM reformat_datasets WHERE id IS NOT NULL AND messages IS NOT NULL), x AS (SELECT id, unnest(messages) AS m, generate_subscripts(messages, 1) - 1 AS pos FROM c) SELECT id, CAST(pos AS INT) AS pos, md5(m.content) AS h FROM x WHERE m.role = 'user' AND m.content IS NOT NULL"),
+    "zipped": (zipped, "SELECT c_custkey, s_suppkey, s_name FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey DESC) AS k FROM customer) JOIN (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) USING (k)"),
+    "sampled_groups": (sampled_groups, "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('42_' || o_orderkey), o_orderkey) AS k FROM orders) WHERE n >= 4 AND k <= 4"),
+    "worker_batches": (worker_batches, "WITH x AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('3_' || o_orderkey)) - 1 AS i, count(*) OVER () AS n FROM orders), y AS (SELECT o_orderkey, CAST(i % 4 AS INT) AS rank, (i // 4) // 32 AS batch, i // 4 AS place, n // 4 AS m FROM x) SELECT rank, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, max(batch) AS last FROM y WHERE place < m AND batch < m // 32 GROUP BY 1"),
+    "dataset_report": (dataset_report, "WITH t AS (SELECT DISTINCT source, seq_id, input_ids, labels FROM tokenized_sft WHERE input_ids IS NOT NULL), f AS (SELECT source, len(input_ids) AS n, len(list_filter(labels, lambda x: x <> -100)) AS k, len(input_ids) <= 256 AND len(list_filter(labels, lambda x: x <> -100)) > 0 AS ok FROM t), g AS (SELECT source, count(*) AS initial_rows, count(*) FILTER (ok) AS final_rows, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(k) FILTER (ok), 0) AS BIGINT) AS trained_tokens, coalesce(round(avg(n) FILTER (ok), 6), 0) AS mean_tokens, count(*) FILTER (NOT ok) AS filtered_rows FROM f GROUP BY 1) SELECT *, round(100.0 * tokens / sum(tokens) OVER (), 6) AS percent FROM g"),
+    "verifier_metrics": (verifier_metrics, "WITH x AS (SELECT p_brand, 'size' AS verifier, p_size % 3 AS r FROM part UNION ALL SELECT p_brand, 'key', p_partkey % 2 FROM part) SELECT p_brand, verifier, count(*) AS n, round(avg(r), 6) AS mean_reward, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS correct_rate FROM x GROUP BY ALL"),
 }

@@ -279,3 +279,18 @@ def test_tags_and_tests(spark):
     assert c["n"] == "1. q1\n\n2. q2" and c["f"] == "Question: 1+1\nAnswer: 2\n\nQuestion: 2+2\nAnswer:"
     with pytest.raises(ValueError):
         CV.corpus(df, "nothing")
+
+
+def test_places_and_batches(spark):
+    a, b = spark.createDataFrame([(i, "x") for i in range(10)], "k long, v string"), spark.createDataFrame([(i * 10, "y") for i in range(4)], "k long, w string")
+    z = M.zip_rows(a, b, [F.col("k")], [F.col("k").desc()]).collect()
+    assert sorted((r["k"], r["k_b"]) for r in z) == [(0, 30), (1, 20), (2, 10), (3, 0)]
+    w = M.worker_batches(a, [F.col("k")], 3, 2).collect()
+    assert len(w) == 6 and {r["rank"] for r in w} == {0, 1, 2} and max(r["k"] for r in w) == 5
+    assert M.worker_batches(a, [F.col("k")], 3, 2, drop_last=False).count() == 10
+    g = spark.createDataFrame([("p", 1), ("p", 2), ("p", 3), ("q", 4), (None, 5)], "g string, k long")
+    assert M.sample_groups(g, "g", "k", 2).groupBy("g").count().collect()[0]["count"] == 2
+    assert S.markdown_table(spark.createDataFrame([(1, 0.5)], "k long, s double"), "k") == "| k | s |\n|-|-|\n| 1 | 0.5000 |"
+    cut = C.truncate_tokens("t", C.byte_tokenizer(), 3, lambda ids: bytes(ids).decode(errors="ignore"))
+    assert [r["c"] for r in spark.createDataFrame([("abcdef",), ("ab",), (None,)], "t string").select(cut.alias("c")).collect()] == ["abc", "ab", None]
+    assert M.by_length(a, F.length("v")).count() == 10
