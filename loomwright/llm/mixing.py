@@ -99,9 +99,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = SEED, bucket_rows: int
     nothing; the other sources keep their targets, so the mix is smaller then, and the actual
     shares say so.  Sources compare without case and outer blanks.  Records without tokens,
     with a null key or with a null source are never chosen.  Repeated keys count as separate
-    records.  Null targets or repeats count as zero.
+    records.  Null targets or repeats count as zero.  Other columns are not read.
     """
-    docs = cut_lineage(docs)
+    docs = cut_lineage(docs.select("key", "source", "n_tokens"))
     stats = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
     whole = stats.agg(F.sum("tokens").alias("t"), F.sum("n").alias("n")).first()
     total, slices = int(whole["t"] or 0), max(1, -(-int(whole["n"] or 0) // bucket_rows))

@@ -23,7 +23,8 @@ def test_mix(spark):
     rows = [(i, rng.choice([" Big", "big ", "BIG"]), rng.randint(1, 50)) for i in range(4000)] + [(10_000 + i, "small", 10) for i in range(5)]
     rows += [(20_000, None, 40), (None, "big", 10), (20_001, "big", 0)]
     docs = spark.createDataFrame(rows, "key long, source string, n_tokens long").withColumn("source", F.lower(F.trim("source")))
-    targets = spark.createDataFrame([("m", "Big", 0.5, 1, 0.2), ("m", "small", 0.4, 3, 0.2), ("m", "gone", 0.1, 2, 0.2)], "mix_name string, source string, target_share double, max_repeats int, size_factor double")
+    docs = docs.withColumns({c: F.lit(1) for c in ("tokens", "each", "mix_name", "copies")})  # names that the operator uses
+    targets = spark.createDataFrame([("m", "Big", 0.5, 1, 0.2), ("m", "small", 0.4, 3, 0.2), ("m", "gone", 0.1, 2, 0.2), ("m", None, None, None, 0.2)], "mix_name string, source string, target_share double, max_repeats int, size_factor double")
     chosen, shares = M.mix(docs, targets, bucket_rows=300)
     total = sum(r[2] for r in rows)
     got = {r["source"]: r for r in shares.collect()}
@@ -33,7 +34,7 @@ def test_mix(spark):
     assert abs(sum(r["actual_share"] for r in got.values()) - 1) < 1e-5
     assert all(r["copies"] <= 3 and r["key"] is not None for r in chosen.collect())
     empty, none = M.mix(docs.limit(0), targets)
-    assert empty.count() == 0 and none.count() == 3
+    assert empty.count() == 0 and none.count() == 4
 
 
 def test_tokens_of_long_text():

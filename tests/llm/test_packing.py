@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomwright.llm import packing as P
 
@@ -42,7 +43,7 @@ def test_pack(spark):
     rng = random.Random(1)
     rows = [("a", 50, i, rng.choice([3, 7, 20, 26, 49, 50, 120])) for i in range(600)] + [("b", 10, 9000 + i, 6) for i in range(40)]
     rows += [("a", 50, 7001, 0), ("a", 50, 7002, None), (None, 50, 7003, 5), ("b", None, 7004, 5), ("b", 10, None, 5)]
-    items = spark.createDataFrame(rows, "run string, capacity int, item long, length int")
+    items = spark.createDataFrame(rows, "run string, capacity int, item long, length int").withColumns({c: F.lit(1) for c in ("part", "pack", "piece", "room", "whole")})
     for size in (50_000, 60):
         fill, pieces = defaultdict(int), defaultdict(list)
         for r in P.pack(items, partition_items=size).collect():
