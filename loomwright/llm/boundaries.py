@@ -78,11 +78,13 @@ _LABEL = re.compile(
     re.I,
 )
 _THAI = "ก-๛"
+#: Single quotation marks are apostrophes too: one that does not close within so many characters is one.
+SINGLE_QUOTED = 2000
 _INLINE = re.compile(
     r"(?P<span>"
-    r"“[^“”]*”|„[^“”„]*[“”]|«[^«»]*»|»[^«»]*«|「(?:[^「」]|「[^「」]*」)*」|『[^『』]*』|《[^《》]*》|【[^【】]*】|"
-    r"\((?:[^()]|\([^()]*\))*\)|（(?:[^（）]|（[^（）]*）)*）|"
-    r"(?<![^\W_])\"(?=\S)[^\"]*\"|(?<!\w)‘(?:[^‘’]|’(?=\w))*’(?!\w)|(?<!\w)'(?=\S)(?:[^']|'(?=\w))*(?<=\S)'(?!\w)"
+    r"“[^“”]*+”|„[^“”„]*+[“”]|«[^«»]*+»|»[^«»]*+«|「(?:[^「」]++|「[^「」]*+」)*+」|『[^『』]*+』|《[^《》]*+》|【[^【】]*+】|"
+    r"\((?:[^()]++|\([^()]*+\))*+\)|（(?:[^（）]++|（[^（）]*+）)*+）|"
+    rf"(?<![^\W_])\"(?=\S)[^\"]*+\"|(?<!\w)‘(?:[^‘’]|’(?=\w)){{0,{SINGLE_QUOTED}}}+’(?!\w)|(?<!\w)'(?=\S)(?:[^']|'(?=\w)){{0,{SINGLE_QUOTED}}}+(?<=\S)'(?!\w)"
     r")|(?P<mark>[.!?。！？｡।॥؟۔…‥．]+[\"”»」』）)\]’'“›】]*)"
     rf"|(?P<gap>(?<=[{_THAI}”»\"')\]])\s+(?=[{_THAI}“«\"'(\[])|(?<=[{_THAI}])\s+(?=\S)|(?<=\S)\s+(?=[{_THAI}]))"
 )
@@ -244,24 +246,23 @@ def _thai_gap(s: str, a: int, b: int) -> bool:
 def paragraph_ends(s: str, start: int, stop: int, body: int) -> list[int]:
     """Ends of the units of the paragraph ``s[start:stop]``; markers reach to ``body``."""
     ends: list[int] = []
-    text = s[:stop] if stop < len(s) else s
-    for m in _INLINE.finditer(text, body, stop):
+    text, head = s[start:stop], body - start
+    for m in _INLINE.finditer(text, head):
         a, b = m.span()
         if m["mark"] is not None:
-            if _ends_at_mark(text, start, a, m["mark"], b):
+            if _ends_at_mark(text, 0, a, m["mark"], b):
                 ends.append(b)
         elif m["span"] is not None:
-            if _ends_behind_span(text, start, a, b):
+            if _ends_behind_span(text, 0, a, b):
                 ends.append(b)
-        elif a > body and _thai_gap(text, a, b):
+        elif a > head and _thai_gap(text, a, b):
             ends.append(a)
-    tail = text[ends[-1] if ends else start : stop]
+    tail = text[ends[-1] if ends else 0 :]
     if tail.strip().strip(_INVISIBLE + " \t\r\n"):
-        last = (ends[-1] if ends else start) + len(tail.rstrip())
-        ends.append(last)
+        ends.append((ends[-1] if ends else 0) + len(tail.rstrip()))
     elif ends and tail and tail.rstrip() and set(tail.rstrip()) <= set(_INVISIBLE):
         ends[-1] += len(tail.rstrip())
-    return ends
+    return [start + e for e in ends]
 
 
 def _line_kind(line: str, state: int) -> tuple[int, str, int]:

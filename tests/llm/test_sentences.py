@@ -56,3 +56,12 @@ def test_operator_on_dirty_rows(spark):
     assert sorted(e for d, e in rows if d == 5) == list(B.unit_ends(long))
     assert {d for d, _ in rows} == {1, 5}
     assert sentence_ends(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["it is 'tis and " * 3000, "a ( b " * 9000, "- item here. Yes\n" * 4000, "." * 40000, 'say "no ' * 9000, "word word. Next\n" * 9000, "(" * 30000, "«" * 30000])
+def test_long_odd_texts_take_linear_time(text):
+    import time
+
+    began = time.time()
+    ends = list(B.unit_ends(text))
+    assert ends[-1] == len(text.rstrip()) and time.time() - began < 5
