@@ -200,9 +200,9 @@ QUERIES = {
     "convert_turns": (convert_turns, f"SELECT id, array_to_string(list_transform(messages, lambda m: m.role), ',') AS roles FROM {_C} WHERE len(messages) > 0"),
     "marked_dialogues": (marked_dialogues, None),
     "lettered_choices": (lettered_choices, "WITH l AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY lower(n_name), n_name) AS k FROM nation) SELECT n_regionkey, string_agg(chr(CAST(64 + k AS INT)) || '. ' || n_name, chr(10) ORDER BY k) AS lines, chr(CAST(64 + max_by(k, n_name) AS INT)) AS letter FROM l GROUP BY 1"),
-    "judge_scores": (judge_scores, "SELECT n_nationkey, round(CASE n_nationkey % 4 WHEN 0 THEN n_nationkey / 30 WHEN 1 THEN n_nationkey / 100 WHEN 2 THEN 1.0 ELSE 0.0 END, 6) AS free, CAST(n_nationkey AS DOUBLE) AS json, n_nationkey / 10 AS of_10, CASE WHEN n_nationkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS decision FROM nation"),
+    "judge_scores": (judge_scores, "SELECT n_nationkey, round(CASE n_nationkey % 4 WHEN 0 THEN n_nationkey / 30 WHEN 1 THEN n_nationkey / 100 WHEN 2 THEN 1.0 ELSE 0.0 END, 6) AS free, CAST(n_nationkey AS DOUBLE) AS json, n_nationkey / 10 AS of_10, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS decision FROM nation"),
     "math_equal": (math_equal, "SELECT p_partkey, true AS slash, true AS decimal, false AS other FROM part WHERE p_size > 0"),
-    "math_verifier": (math_verifier, "SELECT p_partkey, 1.0 AS math, 0.0 AS wrong FROM part"),
+    "math_verifier": (math_verifier, "SELECT p_partkey, CAST(1 AS DOUBLE) AS math, CAST(0 AS DOUBLE) AS wrong FROM part"),
     "code_blocks": (code_blocks, None),
     "answers": (answers, None),
     "pipeline": (pipeline, "SELECT doc_id, CAST(length(text) * 2 AS INT) AS n, 'documents' AS dataset_source FROM documents WHERE lang = 'en'"),

@@ -282,8 +282,8 @@ QUERIES = {
     "reward_gsm8k": (reward_gsm8k, r"WITH t AS (SELECT doc_id, regexp_replace(text, '(\d),(\d)', '\1\2', 'g') AS p, regexp_extract(text, '(\d+)\D*$', 1) AS y FROM documents), n AS (SELECT doc_id, y, p, regexp_extract_all(p, '([-+]?\d*\.\d+|\d+)', 1) AS l FROM t) SELECT doc_id, CAST(lower(CASE WHEN len(l) > 0 THEN l[-1] ELSE p END) = lower(y) AS DOUBLE) AS score FROM n"),
     "reward_f1": (reward_f1, None),
     "reward_length": (reward_length, "SELECT DISTINCT seq_id, round(1 - abs(len(input_ids) - 100) / 1024.0, 6) AS near, round(CASE WHEN len(input_ids) <= 100 THEN 1.0 ELSE 1 - (len(input_ids) - 100) / 1024.0 END, 6) AS up_to FROM tokenized_sft WHERE input_ids IS NOT NULL"),
-    "reward_flan": (reward_flan, f"SELECT n_nationkey, CAST({_PLAIN.format(x=chr(39) + 'the ' + chr(39) + ' || lower(n_name) || ' + chr(39) + '.' + chr(39))} = {_PLAIN.format(x='n_name')} AS DOUBLE) AS flan, 1.0 AS puzzle, 1.0 AS matcher, 1.0 AS format FROM nation"),
-    "reward_combined": (reward_combined, r"SELECT n_nationkey, 2.0 + CASE WHEN regexp_extract_all(n_name, '(\d+)', 1)[-1] = '7' THEN 1.0 ELSE 0.0 END AS reward, 2.0 AS flan FROM nation"),
+    "reward_flan": (reward_flan, f"SELECT n_nationkey, CAST({_PLAIN.format(x=chr(39) + 'the ' + chr(39) + ' || lower(n_name) || ' + chr(39) + '.' + chr(39))} = {_PLAIN.format(x='n_name')} AS DOUBLE) AS flan, CAST(1 AS DOUBLE) AS puzzle, CAST(1 AS DOUBLE) AS matcher, CAST(1 AS DOUBLE) AS format FROM nation"),
+    "reward_combined": (reward_combined, r"SELECT n_nationkey, CAST(2 + CASE WHEN regexp_extract_all(n_name, '(\d+)', 1)[-1] = '7' THEN 1 ELSE 0 END AS DOUBLE) AS reward, CAST(2 AS DOUBLE) AS flan FROM nation"),
     "if_registry": (if_registry, None),
     "if_checks": (if_checks, r"""SELECT doc_id, NOT contains(text, ',') AS no_comma, NOT contains(text, '!') AS no_exclamation, NOT contains(text, '.') AS no_dot, len(regexp_extract_all(text, '(\[.*?\])', 1)) >= 1 AS placeholder,
 regexp_matches(text, '<<[^\n]+>>') AS title, len(regexp_extract_all(text, '([a-zA-Z])', 1)) >= 300 AS letters, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*[*-]'))) = 3 AS bullets, len(string_split(text, chr(10) || chr(10))) = 3 AS three_paragraphs,
