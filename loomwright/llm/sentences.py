@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.llm import boundaries as B
+from loomwright.session import cut_lineage
 from loomwright.sources.tables import table
 
 #: Texts longer than this go by chunks, so that one text occupies many tasks.
@@ -60,7 +61,7 @@ def sentence_ends(df: DataFrame, key: str = "doc_id", text: str = "text", long_t
     schema = long.select("_row", "_key").schema
     for name, kind in (("_no", "int"), ("_at", "bigint"), ("_last", "boolean"), ("_chunk", "string"), ("_f", "array<int>")):
         schema = schema.add(name, T.DataType.fromDDL(kind))
-    chunks = long.select("_row", "_key", "_text").mapInArrow(_cut, schema)
+    chunks = cut_lineage(long.select("_row", "_key", "_text").mapInArrow(_cut, schema))  # read twice below
     entry = (
         chunks.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_no", "_f"))).alias("c"))
         .select("_row", F.posexplode(_entries(F.col("c._f"))).alias("_no", "_state"))
