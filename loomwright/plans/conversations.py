@@ -93,7 +93,7 @@ def drop_by_cutoff(spark: SparkSession, d: str) -> DataFrame:
 
 def think_format(spark: SparkSession, d: str) -> DataFrame:
     """Reasoning format of each text, as it is and with answer tags added and removed again."""
-    t = table(spark, d, "documents").where("kind = 'reasoning'").withColumn("text", F.regexp_replace("text", r"\A﻿", ""))
+    t = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"\A﻿", ""))
     added = Q.add_answer_tags("text")
     return t.select("doc_id", Q.is_think("text").alias("think"), Q.is_think_answer("text").alias("think_answer"), F.md5(added).alias("added"), F.md5(Q.remove_answer_tags(added)).alias("removed"))
 
@@ -149,11 +149,11 @@ def placeholder_rewrite(spark: SparkSession, d: str) -> DataFrame:
 _STRIP = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+"
 
 
-def _strip_sql(x: str) -> str:
+def strip_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^{_STRIP}', ''), '{_STRIP}$', '')"
 
 
-_SENT = "list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: " + _strip_sql("s") + "), lambda s: s <> '')"
+_SENT = "list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: " + strip_sql("s") + "), lambda s: s <> '')"
 _WORDLIST = f"list_filter(regexp_split_to_array(text, '{_STRIP}'), lambda s: s <> '')"
 _ADD1 = "CASE WHEN contains(text, '</think>' || chr(10)) THEN text ELSE replace(text, '</think>', '</think>' || chr(10)) END"
 _ADD2 = f"CASE WHEN contains({_ADD1}, '<answer>') THEN {_ADD1} ELSE replace({_ADD1}, '</think>', '</think>' || chr(10) || '<answer>') END"
@@ -175,7 +175,7 @@ QUERIES = {
     "turn_lengths": (turn_lengths, f"SELECT source, m.role AS role, count(*) AS n, CAST(sum(length(m.content)) AS BIGINT) AS chars, CAST(max(length(m.content)) AS INT) AS longest FROM (SELECT source, unnest(messages) AS m FROM ({_BASE})) GROUP BY ALL"),
     "cutoff_mentions": (cutoff_mentions, f"SELECT doc_id, array_to_string(regexp_extract_all('As of my last update in ' || CASE WHEN doc_id % 2 = 0 THEN 'March ' ELSE '' END || CAST(doc_id % 30 + 2000 AS VARCHAR) || '. Knowledge cutoff 2021. ' || text, '{_CUTOFF_SQL}', 1), '|') AS mentions FROM documents"),
     "drop_by_cutoff": (drop_by_cutoff, f"SELECT id, source FROM ({_BASE}) WHERE id NOT IN (SELECT id FROM ({_BASE}) WHERE len(list_filter(messages, lambda m: m.content IS NOT NULL AND contains(m.content, 'compost'))) > 0)"),
-    "think_format": (think_format, f"WITH t AS (SELECT doc_id, regexp_replace(text, '^\\x{{feff}}', '') AS text FROM documents WHERE kind = 'reasoning') SELECT doc_id, regexp_full_match(text, '(?s)<think>.*?</think>.*') AS think, regexp_full_match(text, '(?s)<think>.*?</think><answer>.*?</answer>') AS think_answer, md5({_ADD3}) AS added, md5((SELECT CASE WHEN contains(y, '</think>' || chr(10)) THEN y ELSE replace(y, '</think>', '</think>' || chr(10)) END FROM (SELECT {_strip_sql(f'replace(replace({_ADD3}, chr(60) || chr(97) || chr(110) || chr(115) || chr(119) || chr(101) || chr(114) || chr(62), chr(0)), chr(60) || chr(47) || chr(97) || chr(110) || chr(115) || chr(119) || chr(101) || chr(114) || chr(62), chr(0))')} AS y))) AS removed FROM t".replace("chr(60) || chr(97) || chr(110) || chr(115) || chr(119) || chr(101) || chr(114) || chr(62), chr(0)", "'<answer>', ''").replace("chr(60) || chr(47) || chr(97) || chr(110) || chr(115) || chr(119) || chr(101) || chr(114) || chr(62), chr(0)", "'</answer>', ''")),
+    "think_format": (think_format, f"WITH t AS (SELECT doc_id, regexp_replace(text, '^\\x{{feff}}', '') AS text FROM documents) SELECT doc_id, regexp_full_match(text, '(?s)<think>.*?</think>.*') AS think, regexp_full_match(text, '(?s)<think>.*?</think><answer>.*?</answer>') AS think_answer, md5({_ADD3}) AS added, md5((SELECT CASE WHEN contains(y, '</think>' || chr(10)) THEN y ELSE replace(y, '</think>', '</think>' || chr(10)) END FROM (SELECT {strip_sql(f'replace(replace({_ADD3}, chr(60) || chr(97) || chr(110) || chr(115) || chr(119) || chr(101) || chr(114) || chr(62), chr(0)), chr(60) || chr(47) || chr(97) || chr(110) || chr(115) || chr(119) || chr(101) || chr(114) || chr(62), chr(0))')} AS y))) AS removed FROM t".replace("chr(60) || chr(97) || chr(110) || chr(115) || chr(119) || chr(101) || chr(114) || chr(62), chr(0)", "'<answer>', ''").replace("chr(60) || chr(47) || chr(97) || chr(110) || chr(115) || chr(119) || chr(101) || chr(114) || chr(62), chr(0)", "'</answer>', ''")),
     "special_tokens": (special_tokens, f"SELECT doc_id, md5({_TOKENS.format(x='text')}) AS h FROM documents"),
     "messages_to_text": (messages_to_text, f"SELECT id, md5(array_to_string(list_transform(list_filter(messages, lambda m: m.content <> ''), lambda m: {_ROLE} || ': ' || {_TOKENS.format(x='m.content')}), chr(10) || chr(10))) AS h FROM ({_BASE})"),
     "filter_toxic": (filter_toxic, "SELECT lang, count(*) AS n FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id) WHERE coalesce(toxic, 0) = 0 GROUP BY 1"),

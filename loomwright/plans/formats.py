@@ -14,6 +14,7 @@ from loomwright.operators import chat as C
 from loomwright.operators import convert as CV
 from loomwright.operators import stats as S
 from loomwright.plans.cache import Pipeline
+from loomwright.plans.conversations import strip_sql
 from loomwright.sources.tables import table
 from loomwright.streaming import queries as ST
 
@@ -76,7 +77,7 @@ def convert_turns(spark: SparkSession, d: str) -> DataFrame:
 
 def marked_dialogues(spark: SparkSession, d: str) -> DataFrame:
     """Chats of documents parsed from their speaker marks."""
-    t = table(spark, d, "documents").where("kind = 'raw_chat'").withColumn("m", CV.marked_dialogue(F.concat(F.lit("\n"), "text"), "\nUser: ", "\nAssistant: "))
+    t = table(spark, d, "documents").withColumn("m", CV.marked_dialogue(F.concat(F.lit("\n"), "text"), "\nUser: ", "\nAssistant: "))
     return t.select("doc_id", F.size("m").alias("n"), F.md5(F.array_join(F.transform("m", lambda x: x["content"]), "|")).alias("h"))
 
 
@@ -113,13 +114,13 @@ def math_verifier(spark: SparkSession, d: str) -> DataFrame:
 
 def code_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The last fenced block of each text."""
-    t = table(spark, d, "documents").where("kind = 'code_help'")
+    t = table(spark, d, "documents")
     return t.select("doc_id", F.length(X.last_code_block("text")).alias("n"))
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """What reasoning texts answer: the part behind the reasoning."""
-    t = table(spark, d, "documents").where("kind = 'reasoning'")
+    t = table(spark, d, "documents")
     return t.select("doc_id", F.md5(X.without_thinking("text")).alias("last"), F.md5(X.final_answer("text")).alias("first"))
 
 
@@ -203,8 +204,9 @@ QUERIES = {
     "judge_scores": (judge_scores, "SELECT n_nationkey, round(CASE n_nationkey % 4 WHEN 0 THEN n_nationkey / 30 WHEN 1 THEN n_nationkey / 100 WHEN 2 THEN 1.0 ELSE 0.0 END, 6) AS free, CAST(n_nationkey AS DOUBLE) AS json, n_nationkey / 10 AS of_10, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS decision FROM nation"),
     "math_equal": (math_equal, "SELECT p_partkey, true AS slash, true AS decimal, false AS other FROM part WHERE p_size > 0"),
     "math_verifier": (math_verifier, "SELECT p_partkey, CAST(1 AS DOUBLE) AS math, CAST(0 AS DOUBLE) AS wrong FROM part"),
-    "code_blocks": (code_blocks, None),
-    "answers": (answers, None),
+    "code_blocks": (code_blocks, f"WITH b AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)```(?:python)?(.*?)```', 1) AS l FROM documents) SELECT doc_id, CAST(CASE WHEN len(l) > 0 THEN length({strip_sql('l[-1]')}) ELSE length(text) END AS INT) AS n FROM b"),
+    "answers": (answers, f"""WITH s AS (SELECT doc_id, text, {strip_sql("replace(text, '<|assistant|>', '')")} AS t FROM documents) SELECT doc_id, md5({strip_sql("replace(replace(string_split(t, '</think>')[-1], '<answer>', ''), '</answer>', '')")}) AS last,
+md5(CASE WHEN regexp_matches(text, '(?s)<answer>.*?</answer>') THEN {strip_sql("regexp_extract(text, '(?s)<answer>(.*?)</answer>', 1)")} WHEN contains(text, '</think>') THEN {strip_sql("regexp_extract(text, '(?s)^.*?</think>(.*)$', 1)")} ELSE t END) AS first FROM s"""),
     "pipeline": (pipeline, "SELECT doc_id, CAST(length(text) * 2 AS INT) AS n, 'documents' AS dataset_source FROM documents WHERE lang = 'en'"),
     "leaderboard": (leaderboard, "WITH e AS (SELECT user_id % 7 AS model, event_type, avg(value) AS s FROM events GROUP BY ALL), t AS (SELECT model, event_type, CASE WHEN max(s) OVER (PARTITION BY event_type) > 1 THEN s / 100 ELSE s END AS s FROM e) SELECT model, " + ", ".join(f"round(max(s) FILTER (event_type = '{t}'), 4) AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM t GROUP BY 1"),
     "stream_filter": (stream_filter, "SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE value > 10"),
