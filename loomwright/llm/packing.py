@@ -21,6 +21,8 @@ from loomwright.sources.tables import table
 #: Items of a partition, and rounds of exchange at most.
 PARTITION_ITEMS = 50_000
 ROUNDS = 4
+#: Rows up to which a counted table is broadcast.
+BROADCAST_ROWS = 100_000
 #: Whole functions u_k tried, and thresholds of the cutting function in parts of the capacity.
 BOUND_KS, BOUND_CUTS = 12, 24
 
@@ -100,12 +102,15 @@ def _packed(items: DataFrame) -> DataFrame:
     return items.groupBy("run", "part").applyInPandas(_pack_group, schema)
 
 
-def _spread(items: DataFrame, per_run: dict, seed: int, size: int) -> DataFrame:
-    """Assigns each item a partition of its run; partitions hold ``size`` items on average."""
-    parts = F.lit(1)
-    for run, n in per_run.items():
-        parts = F.when(F.col("run").eqNullSafe(F.lit(run)), F.lit(max(1, -(-n // size)))).otherwise(parts)
-    return items.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "item", "piece"), parts))
+def _small(df: DataFrame) -> DataFrame:
+    """A table of one row per run is broadcast when it has been counted and is small, else joined as the planner finds best."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _spread(items: DataFrame, per_run: DataFrame, seed: int, size: int) -> DataFrame:
+    """Assigns each item a partition of its run; partitions hold ``size`` items on average.  ``per_run``: ``run, n``."""
+    parts = F.greatest(F.ceil(F.col("n") / size), F.lit(1))
+    return items.join(_small(per_run.select("run", "n")), "run").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "item", "piece"), parts)).drop("n")
 
 
 def pack(items: DataFrame, partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
@@ -122,26 +127,25 @@ def pack(items: DataFrame, partition_items: int = PARTITION_ITEMS, rounds: int =
     pieces = cut_lineage(pieces.select("run", "capacity", "item", "piece", F.least(F.col("capacity"), F.col("whole") - F.col("piece") * F.col("capacity")).cast("int").alias("length")))
     full = pieces.where("length = capacity").select("run", F.concat_ws("-", F.col("run").cast("string"), F.lit("full"), F.col("item").cast("string"), "piece").alias("pack_id"), "capacity", "item", "piece", "length")
     rest = pieces.where("length < capacity")
-    per_run = {r["run"]: r["n"] for r in rest.groupBy("run").agg(F.count("*").alias("n")).toLocalIterator()}
+    per_run = cut_lineage(rest.groupBy("run").agg(F.count("*").alias("n")))
     now = cut_lineage(_packed(_spread(rest, per_run, 0, partition_items)).withColumn("round", F.lit(0)))
+    # A run of one partition has nobody to exchange with.
+    several = per_run.where(F.col("n") > partition_items).select("run")
+    gap = (F.col("packs") > F.col("bound")) & (F.col("room") > 0)
     for k in range(1, rounds + 1):
         # Partitions with gaps: full packs stay, the others' items are exchanged.
-        gap = (F.col("packs") > F.col("bound")) & (F.col("room") > 0)
-        stats = now.groupBy("run").agg(F.count_distinct(F.when(F.col("packs") > F.col("bound"), F.col("part"))).alias("open"), F.count_if(gap).alias("n"), F.count_distinct(F.when(gap, F.struct("part", "pack", "round"))).alias("packs")).where("open > 0 and n > 0").collect()
-        pool_runs = {r["run"]: r for r in stats}
-        if not pool_runs:
-            break
-        # Alone in its run, a partition has nobody to exchange with.
-        pool_runs = {r: x for r, x in pool_runs.items() if per_run[r] > partition_items}
-        if not pool_runs:
+        pool = cut_lineage(now.where(gap).join(_small(several), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"), F.count_distinct("part", "pack", "round").alias("old")))
+        if pool.isEmpty():
             break
-        pooled = now.where(gap & F.col("run").isin(list(pool_runs)))
-        again = cut_lineage(_packed(_spread(pooled.select("run", "capacity", "item", "piece", "length"), {r: x["n"] for r, x in pool_runs.items()}, k, partition_items)).withColumn("round", F.lit(k)))
-        better = {r["run"] for r in again.groupBy("run").agg(F.count_distinct("part", "pack").alias("packs")).toLocalIterator() if r["packs"] < pool_runs[r["run"]]["packs"]}
-        if not better:
+        pooled = now.where(gap).select("run", "capacity", "item", "piece", "length")
+        again = cut_lineage(_packed(_spread(pooled, pool, k, partition_items)).withColumn("round", F.lit(k)))
+        better = cut_lineage(again.groupBy("run").agg(F.count_distinct("part", "pack").alias("new")).join(pool, "run").where("new < old").select("run", F.lit(True).alias("better")))
+        if better.isEmpty():
             break
-        kept = now.where(~(gap & F.col("run").isin(list(better)))).withColumn("packs", F.when(F.col("run").isin(list(better)), F.col("bound")).otherwise(F.col("packs")))
-        now = cut_lineage(kept.unionByName(again.where(F.col("run").isin(list(better)))))
+        better = _small(better)
+        kept = now.join(better, "run", "left").where(F.col("better").isNull() | ~gap)
+        kept = kept.withColumn("packs", F.when(F.col("better"), F.col("bound")).otherwise(F.col("packs"))).drop("better")
+        now = cut_lineage(kept.unionByName(again.join(better, "run", "left_semi")))
     packed = now.select("run", F.concat_ws("-", F.col("run").cast("string"), "round", "part", "pack").alias("pack_id"), "capacity", "item", "piece", "length").unionByName(full)
     w = Window.partitionBy("pack_id").orderBy(F.col("length").desc(), "item", "piece").rowsBetween(Window.unboundedPreceding, -1)
     return packed.select("run", "pack_id", "item", "piece", (F.col("piece") * F.col("capacity")).cast("long").alias("start"), "length", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long").alias("at"))
