@@ -65,7 +65,7 @@ STATES = 3
 #: Characters of a chunk of a long text; it is cut behind the next blank line.
 CHUNK_CHARS = 1 << 16
 
-_NL = r"(?:\r\n|[\n\r\x0b\x0c\x85  ])"
+_NL = r"(?>\r\n|[\n\r\x0b\x0c\x85  ])"
 _H = r"[^\S\n\r\x0b\x0c\x85  ]"
 _INVISIBLE = "­​‌‍‎‏⁠﻿"
 _PAD = rf"(?:{_H}|[{_INVISIBLE}])*"
@@ -335,12 +335,14 @@ def unit_ends(text: str, state: int = OUT, last: bool = True) -> Iterator[int]:
 
 
 def cut_chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[tuple[int, str]]:
-    """(offset, chunk): each at least ``size`` long and cut behind a blank line."""
-    cut = re.compile(rf"{_NL}{_PAD}{_NL}")
-    at = 0
+    """(offset, chunk): each at least ``size`` long and cut behind a blank line; the last one is not blank."""
+    cut = re.compile(rf"{_NL}({_PAD}){_NL}")
+    at, stop = 0, len(text.rstrip())
     while len(text) - at > size:
         m = cut.search(text, at + size)
-        if not m:
+        while m and m[1].strip().strip(_INVISIBLE):  # not blank as lines are
+            m = cut.search(text, m.end(1))
+        if not m or m.end() >= stop:
             break
         yield at, text[at : m.end()]
         at = m.end()

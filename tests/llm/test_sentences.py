@@ -48,6 +48,20 @@ def test_chunks_compose_to_the_whole():
         assert got == list(B.unit_ends(text))
 
 
+@pytest.mark.parametrize("text", ["A b “c d.\r\nE f” (g.\r\nH i) j.\r\n" * 30 + "\r\nK. L", "A b.\r\n\r\n```\r\nx. y\r\n" * 9 + " \r\n\r\n", "A b.\n\u200b \u200b\nC d. E\r\n" * 9])
+def test_chunks_agree_whatever_the_line_ends(text):
+    for size in (1, 17, 60):
+        chunks = list(B.cut_chunks(text, size))
+        entry = B.compose_prefixes([B.transition(c) for _, c in chunks])
+        got = [at + e for k, ((at, c), q) in enumerate(zip(chunks, entry)) for e in B.unit_ends(c, int(q), k == len(chunks) - 1)]
+        assert got == list(B.unit_ends(text))
+
+
+def test_a_line_break_of_two_characters_is_no_blank_line():
+    prose = "The cat sat on the mat and\r\nlooked. " * 26_000
+    assert len(prose) > B.CHUNK_CHARS * 8 and len(list(B.cut_chunks(prose))) == 1
+
+
 def test_operator_on_dirty_rows(spark):
     long = "One. Two.\n\n```\na. b\n\nc\n```\n\n" * 300
     df = spark.createDataFrame([(1, "Hi. There", "x"), (2, None, "x"), (3, "", "x"), (4, " ", None), (1, "Hi. There", "x"), (5, long, "x")], "doc_id long, text string, sent_end string")
