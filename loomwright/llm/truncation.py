@@ -4,6 +4,7 @@ A character n-gram model, read backwards from a position, tells how often texts
 ends) behind a context and how often they go on.  Contexts of 10, 6, 3 and 1 characters
 are counted at every position of every line outside code, per language; digits count as one
 character and lines are padded at their start, so that short lines are known as wholes.
+Each distinct text counts once, however often it stands.
 The final context of a text is judged by the longest of its contexts with enough evidence,
 without the text's own end, as log-odds of ending against going on.  The threshold is found
 per language from all texts: the point between the two groups of log-odds.
@@ -185,7 +186,10 @@ def asked_contexts(found: list[int], line: str, ended: bool) -> list[int]:
 
 
 def count_contexts(texts: DataFrame, text: str) -> DataFrame:
-    """``ctx, n, e`` over all lines of all texts; partly aggregated before the shuffle."""
+    """``ctx, n, e`` over all lines of all distinct texts; partly aggregated before the shuffle.
+
+    Copies, also with other line ends or blanks around them, are no evidence for one another.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[str]] = {}
@@ -206,7 +210,8 @@ def count_contexts(texts: DataFrame, text: str) -> DataFrame:
                     size = 0
         yield from flush()
 
-    parts = texts.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(text).alias("t")).mapInPandas(run, "ctx long, n long, e long")
+    once = texts.select(F.trim(F.regexp_replace(text, r"\r\n?", "\n"), F.lit(" \t\n")).alias("t")).where("t != ''").distinct()
+    parts = once.mapInPandas(run, "ctx long, n long, e long")
     return parts.groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
 
 

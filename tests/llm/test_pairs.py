@@ -51,3 +51,11 @@ def test_truncated_and_defects(spark):
 @pytest.mark.parametrize("prompt,lang", [("Write about a Chinese garden in spring.", ""), ("Tell me about the French revolution and write a summary.", ""), ("Explique en anglais.", "en"), ("Bitte auf Englisch antworten.", "en"), ("用英语回答。", "en"), ("Use Chinese for the answer.", "zh"), ("Translate into Russian: The cat.", "ru"), ("Ответь по-английски.", "en")])
 def test_requests_for_a_language(prompt, lang):
     assert P.asked_language(prompt) == lang
+
+
+def test_copies_of_a_cut_text_are_no_evidence(spark):
+    good, cut = "The kettle is on the table. It heats the water after lunch.", "The kettle is on the table.\nIt heats the wat"
+    rows = [(f"p{i}", good + f" That takes {i} minutes.") for i in range(300)] + [(f"c{i}", cut) for i in range(50)]
+    rows += [(f"d{i}", cut.replace("\n", "\r\n") + "\n" * i) for i in range(20)]
+    got = {r["k"] for r in truncated(spark.createDataFrame(rows, "k string, t string"), ["k"], "t").where("cut").collect()}
+    assert got == {f"c{i}" for i in range(50)} | {f"d{i}" for i in range(20)}
