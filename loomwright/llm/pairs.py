@@ -2,9 +2,11 @@
 
 Refusals are found by their openings: what an answer opens with, with the prompt's own words
 masked, is clustered by MinHash whose collisions are verified (shingles of five words,
-similarity 0.8).  An opening that recurs over prompts, declines, and is seldom followed by an
-answer is the template of a refusal; an answer that opens with one and adds nothing but
-courtesies is a refusal.  The other defects are read off each pair: copied wording by runs of
+similarity 0.8).  A cluster that declines, by a list of phrases, in most of its answers and is
+seldom followed by an answer is the template of a refusal, even if seen only once; an answer
+that opens with one and adds nothing but courtesies is a refusal.  Recurrence over prompts is
+not asked: stock answers recur as well.  A refusal in wording far from the list is not found.
+The other defects are read off each pair: copied wording by runs of
 words shared with the prompt, language per sentence unit against the prompt's or the one it
 asks for, and truncation by the model of ``truncation``.
 """
@@ -286,7 +288,7 @@ def defects(pairs: DataFrame) -> DataFrame:
     clusters = opening_clusters(stats.select("template"))
     judged = (
         stats.join(clusters, "template").groupBy("cluster")
-        .agg(F.sum("n").alias("n"), (F.sum("answered") / F.sum("n")).alias("answered"), (F.sum("declined") / F.sum("n")).alias("declined"))
+        .agg((F.sum("answered") / F.sum("n")).alias("answered"), (F.sum("declined") / F.sum("n")).alias("declined"))
         .where((F.col("declined") >= 0.5) & (F.col("answered") <= MOST_ANSWERED))
     )
     refusing = clusters.join(judged, "cluster", "left_semi").select("template").withColumn("refuses", F.lit(True))
