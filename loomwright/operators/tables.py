@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,19 +42,23 @@ def forest(df: DataFrame, key: str, tree: str) -> DataFrame:
     return d.join(p, (d[tree] == p["_t"]) & (F.floor(d["_rn"] / 2) == p["_p"]), "left").drop("_rn", "_t", "_p")
 
 
-def best_paths(df: DataFrame, key: str, parent: str, quality: str, top_k: int = 1, depth: int = 32) -> DataFrame:
+def best_paths(df: DataFrame, key: str, parent: str, quality: str, top_k: int = 1, depth: int | None = None) -> DataFrame:
     """``key, depth, root`` of the nodes reached from the roots over the ``top_k`` best children.
 
-    One join per level; a level without nodes ends the walk, so cycles without a root are never met.
+    One join per level; a level without nodes ends the walk, or ``depth`` where it is given.  Cycles
+    without a root are never met; a path longer than there are parents runs in a cycle and is an error.
     """
     w = Window.partitionBy(parent).orderBy(F.col(quality).desc_nulls_last(), key)
     kids = cut_lineage(df.where(F.col(parent).isNotNull()).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top_k).select(F.col(key).alias("_kid"), F.col(parent).alias("_par")))
     level = df.where(F.col(parent).isNull()).select(key, F.lit(0).alias("depth"), F.col(key).alias("root"))
     out = [cut_lineage(level)]
-    for n in range(1, depth + 1):
+    longest = kids.select("_par").distinct().count()
+    for n in count(1) if depth is None else range(1, depth + 1):
         nxt = cut_lineage(out[-1].join(kids, out[-1][key] == kids["_par"]).select(F.col("_kid").alias(key), F.lit(n).alias("depth"), "root"))
         if nxt.isEmpty():
             break
+        if n > longest:
+            raise ValueError(f"a cycle of {parent} can be reached from a root")
         out.append(nxt)
     result = out[0]
     for x in out[1:]:

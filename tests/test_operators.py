@@ -294,3 +294,15 @@ def test_places_and_batches(spark):
     cut = C.truncate_tokens("t", C.byte_tokenizer(), 3, lambda ids: bytes(ids).decode(errors="ignore"))
     assert [r["c"] for r in spark.createDataFrame([("abcdef",), ("ab",), (None,)], "t string").select(cut.alias("c")).collect()] == ["abc", "ab", None]
     assert M.by_length(a, F.length("v")).count() == 10
+
+
+def test_paths_are_walked_to_their_end(spark, tmp_path):
+    from loomwright.plans.corpus import tree_paths
+
+    chain = spark.createDataFrame([(i, i - 1 if i else None, 1.0) for i in range(35)], "k long, p long, q double")
+    assert TB.best_paths(chain, "k", "p", "q").agg(F.max("depth")).first()[0] == 34
+    assert TB.best_paths(chain, "k", "p", "q", depth=3).count() == 4
+    with pytest.raises(ValueError, match="cycle"):
+        TB.best_paths(spark.createDataFrame([(1, None, 1.0), (2, 1, 1.0), (1, 2, 1.0)], "k long, p long, q double"), "k", "p", "q")
+    spark.range(1, 8193).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), (-F.col("id")).cast("double").alias("value")).write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(tuple(r) for r in tree_paths(spark, str(tmp_path)).collect()) == [(2**n, n, 1) for n in range(14)]
