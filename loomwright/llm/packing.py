@@ -2,10 +2,13 @@
 
 The items of a run are spread over partitions by hash; each partition is packed by best-fit
 decreasing and certified by lower bounds from dual-feasible functions.  A partition that needs
-no more packs than its bound is finished.  The others have gaps: they keep their full packs and
-give the items of the rest into an exchange, which spreads them anew over fewer partitions,
-packs and certifies again.  A round is kept only for runs where it needs fewer packs, so the
-number of packs never grows.  Packing moves (id, length) rows, never the token arrays.
+no more packs than its bound is finished but for one pack, its emptiest, since bounds are rounded
+up partition by partition.  The others have gaps: they give their emptiest packs, as many as
+leave room for a whole one.  The items of all packs given are exchanged: they are spread over
+fewer partitions, packed and certified again.  A round is kept only for runs where it needs fewer packs, so the
+number of packs falls with every round, and a run goes on until it has no gap or no gain.
+Every run takes this way, whatever its size.  Packing moves (id, length) rows, never the
+token arrays.
 """
 
 from __future__ import annotations
@@ -18,38 +21,42 @@ from pyspark.sql import functions as F
 from loomwright.session import cut_lineage
 from loomwright.sources.tables import table
 
-#: Items of a partition, and rounds of exchange at most.
-PARTITION_ITEMS = 50_000
-ROUNDS = 4
+#: Items of a partition on average.
+PARTITION_ITEMS = 2_000
 #: Rows up to which a counted table is broadcast.
 BROADCAST_ROWS = 100_000
-#: Whole functions u_k tried, and thresholds of the cutting function in parts of the capacity.
-BOUND_KS, BOUND_CUTS = 12, 24
+#: Functions u_k tried at most; beyond the items a pack can hold they say nothing new.
+BOUND_KS = 100
 
 
 def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
-    """Packs that any packing of these items needs, by dual-feasible functions in integers.
+    """Packs that any packing of these items needs, by dual-feasible functions in whole numbers.
 
-    Tried are the identity, ``u_k`` (rounding to parts of 1/k) and, for thresholds ``t``, the
-    function that turns items over ``capacity - t`` into whole packs and drops those under
-    ``t``, alone and with ``u_k`` applied behind it.
+    Tried are the identity, ``u_k`` (rounding to parts of 1/k) and, for every length ``t`` up to
+    half the capacity, the function that turns items over ``capacity - t`` into whole packs
+    and drops those under ``t``, alone and with ``u_k`` applied behind it.  Sums over a range
+    of lengths are differences of running sums, so a function costs one pass for all ``t``.
     """
-    x, n = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
+    order = np.argsort(lengths, kind="stable")
+    x, n = np.asarray(lengths, dtype=np.int64)[order], np.asarray(counts, dtype=np.int64)[order]
     if not len(x):
         return 0
-
-    def rounded(v: np.ndarray, k: int) -> int:
-        up = (k + 1) * v
-        whole = up % capacity == 0
-        # in units of 1 / (k * capacity)
-        return -(-int((np.where(whole, v * k, (up // capacity) * capacity) * n).sum()) // (k * capacity))
-
-    best = -(-int((x * n).sum()) // capacity)
-    sizes = np.unique(x[x * 2 <= capacity])
-    cuts = sizes if len(sizes) <= BOUND_CUTS else sizes[np.linspace(0, len(sizes) - 1, BOUND_CUTS).astype(int)]
-    shapes = [x] + [np.where(x > capacity - t, capacity, np.where(x < t, 0, x)) for t in cuts]
-    for v in shapes:
-        best = max(best, -(-int((v * n).sum()) // capacity), *(rounded(v, k) for k in range(1, BOUND_KS + 1)))
+    t = np.concatenate([[0], np.unique(x[x * 2 <= capacity])])
+    lo, hi = np.searchsorted(x, t, "left"), np.searchsorted(x, capacity - t, "right")
+
+    def running(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(v * n)])
+
+    def most(v: np.ndarray, whole: int) -> int:
+        r = running(v)
+        return int((-(-(over * whole + r[hi] - r[lo]) // whole)).max())
+
+    ones = running(np.ones_like(x))
+    over = ones[-1] - ones[hi]
+    best = most(x, capacity)
+    for k in range(1, min(BOUND_KS, capacity // int(x[0])) + 1):
+        up = (k + 1) * x  # in units of 1 / (k * capacity)
+        best = max(best, most(np.where(up % capacity == 0, x * k, up // capacity * capacity), k * capacity))
     return best
 
 
@@ -90,15 +97,17 @@ def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
     sizes, counts = np.unique(lengths, return_counts=True)
     out = pdf[["run", "capacity", "item", "piece", "length", "part"]].copy()
     out["pack"] = pack
-    out["room"] = capacity - np.bincount(pack, weights=lengths).astype(np.int64)[pack]
-    out["bound"] = lower_bound(sizes, counts, capacity)
-    out["packs"] = int(pack.max()) + 1
+    room = capacity - np.bincount(pack, weights=lengths).astype(np.int64)
+    gap = int(pack.max()) + 1 > lower_bound(sizes, counts, capacity)
+    emptiest = np.argsort(-room, kind="stable")
+    emptiest = emptiest[: np.searchsorted(np.cumsum(room[emptiest]), capacity) + 1] if gap else emptiest[:1]
+    out["gives"] = np.isin(pack, emptiest[room[emptiest] > 0])
     return out
 
 
 def _packed(items: DataFrame) -> DataFrame:
     kinds = dict(items.dtypes)
-    schema = f"run {kinds['run']}, capacity int, item {kinds['item']}, piece int, length int, part long, pack long, room long, bound long, packs long"
+    schema = f"run {kinds['run']}, capacity int, item {kinds['item']}, piece int, length int, part long, pack long, gives boolean"
     return items.groupBy("run", "part").applyInPandas(_pack_group, schema)
 
 
@@ -113,7 +122,7 @@ def _spread(items: DataFrame, per_run: DataFrame, seed: int, size: int) -> DataF
     return items.join(_small(per_run.select("run", "n")), "run").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "item", "piece"), parts)).drop("n")
 
 
-def pack(items: DataFrame, partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, partition_items: int = PARTITION_ITEMS) -> DataFrame:
     """``run, pack_id, item, piece, start, length, at``: the pieces of each pack, in order.
 
     ``items``: ``run, capacity, item, length``.  Lengths are positive; null or non-positive
@@ -129,22 +138,19 @@ def pack(items: DataFrame, partition_items: int = PARTITION_ITEMS, rounds: int =
     rest = pieces.where("length < capacity")
     per_run = cut_lineage(rest.groupBy("run").agg(F.count("*").alias("n")))
     now = cut_lineage(_packed(_spread(rest, per_run, 0, partition_items)).withColumn("round", F.lit(0)))
-    # A run of one partition has nobody to exchange with.
-    several = per_run.where(F.col("n") > partition_items).select("run")
-    gap = (F.col("packs") > F.col("bound")) & (F.col("room") > 0)
-    for k in range(1, rounds + 1):
-        # Partitions with gaps: full packs stay, the others' items are exchanged.
-        pool = cut_lineage(now.where(gap).join(_small(several), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"), F.count_distinct("part", "pack", "round").alias("old")))
+    going, k = per_run.select("run"), 0
+    while True:  # ends: every round takes packs away
+        k += 1
+        pool = cut_lineage(now.where("gives").join(_small(going), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"), F.count_distinct("part", "pack", "round").alias("old")))
         if pool.isEmpty():
             break
-        pooled = now.where(gap).select("run", "capacity", "item", "piece", "length")
+        pooled = now.where("gives").join(_small(pool.select("run")), "run", "left_semi").select("run", "capacity", "item", "piece", "length")
         again = cut_lineage(_packed(_spread(pooled, pool, k, partition_items)).withColumn("round", F.lit(k)))
-        better = cut_lineage(again.groupBy("run").agg(F.count_distinct("part", "pack").alias("new")).join(pool, "run").where("new < old").select("run", F.lit(True).alias("better")))
-        if better.isEmpty():
+        going = cut_lineage(again.groupBy("run").agg(F.count_distinct("part", "pack").alias("new")).join(pool, "run").where("new < old").select("run"))
+        if going.isEmpty():
             break
-        better = _small(better)
-        kept = now.join(better, "run", "left").where(F.col("better").isNull() | ~gap)
-        kept = kept.withColumn("packs", F.when(F.col("better"), F.col("bound")).otherwise(F.col("packs"))).drop("better")
+        better = _small(going.withColumn("better", F.lit(True)))
+        kept = now.join(better, "run", "left").where(F.col("better").isNull() | ~F.col("gives")).drop("better")
         now = cut_lineage(kept.unionByName(again.join(better, "run", "left_semi")))
     packed = now.select("run", F.concat_ws("-", F.col("run").cast("string"), "round", "part", "pack").alias("pack_id"), "capacity", "item", "piece", "length").unionByName(full)
     w = Window.partitionBy("pack_id").orderBy(F.col("length").desc(), "item", "piece").rowsBetween(Window.unboundedPreceding, -1)

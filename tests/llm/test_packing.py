@@ -39,6 +39,21 @@ def test_bound_and_packing(lengths):
     assert np.bincount(packs, weights=lengths).max() <= 20
 
 
+def test_small_partitions_need_no_more_packs_than_one(spark):
+    """The exchange wins back what partitions lose: as few packs as one partition for all, to one in a hundred."""
+    rng = random.Random(5)
+    rows = [(r, c, i, min(c, max(1, int(rng.lognormvariate(4.2, 0.9))))) for r, c in (("a", 512), ("b", 130)) for i in range(3000)]
+    items = spark.createDataFrame(rows, "run string, capacity int, item long, length int")
+    n = {size: {r["run"]: r["n"] for r in P.pack(items, size).groupBy("run").agg(F.count_distinct("pack_id").alias("n")).collect()} for size in (10_000, 150)}
+    alone = P._packed(P._spread(items.where("length < capacity").withColumn("piece", F.lit(0)), items.groupBy("run").agg(F.count("*").alias("n")), 0, 150))
+    lost = {r["run"]: r["n"] for r in alone.groupBy("run").agg(F.count_distinct("part", "pack").alias("n")).collect()}
+    for run, capacity in (("a", 512), ("b", 130)):
+        lengths = [x[3] for x in rows if x[0] == run]
+        bound = P.lower_bound(*np.unique(lengths, return_counts=True), capacity)
+        assert bound <= n[10_000][run] and n[150][run] <= 1.01 * n[10_000][run]
+        assert n[150][run] - sum(x == capacity for x in lengths) <= lost[run]
+
+
 def test_pack(spark):
     rng = random.Random(1)
     rows = [("a", 50, i, rng.choice([3, 7, 20, 26, 49, 50, 120])) for i in range(600)] + [("b", 10, 9000 + i, 6) for i in range(40)]
