@@ -30,6 +30,8 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents of a bucket on average, and seed of the offsets.
 BUCKET_ROWS, SEED = 100_000, 20240607
+#: Expected copies are summed in whole numbers of 1/2**UNIT_BITS, so a sum is the same in any order.
+UNIT_BITS = 22
 #: Characters the tokenizer gets at once; a longer text goes in pieces cut at blanks.
 PIECE = 1 << 16
 
@@ -72,20 +74,20 @@ def with_tokens(df: DataFrame, key: str, source: str, text: str, folder: str = T
 def systematic(rows: DataFrame, by: list[str], key: str, size: str, expected: str, offset: Column, slices: int) -> DataFrame:
     """``rows`` with ``copies``: how many whole numbers each row's stretch of the prefix sum crosses.
 
-    ``offset`` in [0, 1) is one number per group of ``by``.  Sums are exact up to rounding of
-    doubles; each row crosses ``floor`` or ``ceil`` of its expectation whole numbers.
+    ``offset`` in [0, 1) is one number per group of ``by``.  A row starts where the one before
+    ends, so every whole number is crossed once; each row crosses ``floor`` or ``ceil`` of its
+    expectation (rounded to 2**-22) whole numbers.  A group holds 2**41 copies at most.
     """
-    r = rows.withColumn("_class", F.floor(F.log2(F.greatest(F.col(size), F.lit(1)).cast("double")) * 4)).withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)))
+    units = lambda x: F.round(x * (1 << UNIT_BITS)).cast("long")
+    r = rows.withColumn("_units", units(F.col(expected))).withColumn("_class", F.floor(F.log2(F.greatest(F.col(size), F.lit(1)).cast("double")) * 4)).withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)))
     bucket = [*by, "_class", "_slice"]
     before = Window.partitionBy(*by).orderBy("_class", "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = r.groupBy(*bucket).agg(F.sum(expected).alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0.0))).drop("_sum")
+    starts = r.groupBy(*bucket).agg(F.sum("_units").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*bucket).orderBy(size, key).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("_start") + F.sum(expected).over(inside) + offset
-    # A sum of doubles may end a hair below or above the whole number meant.
     return (
-        r.join(starts, bucket).withColumn("_end", F.round(end, 9))
-        .withColumn("copies", (F.floor("_end") - F.floor(F.round(F.col("_end") - F.col(expected), 9))).cast("int"))
-        .drop("_class", "_slice", "_start", "_end")
+        r.join(starts, bucket).withColumn("_end", F.col("_start") + F.sum("_units").over(inside) + units(offset))
+        .withColumn("copies", (F.shiftright("_end", UNIT_BITS) - F.shiftright(F.col("_end") - F.col("_units"), UNIT_BITS)).cast("int"))
+        .drop("_class", "_slice", "_start", "_end", "_units")
     )
 
 
