@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from loomwright.session import cut_lineage
 
-ROUNDS = 40
-
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
     """``e`` holds (u, v).  Links each neighbour to the least node of its neighbourhood."""
@@ -34,7 +32,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     e = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("u"), F.col(b).alias("v")).distinct()
     e, before = cut_lineage(e), None
-    for _ in range(ROUNDS):
+    while True:  # every round but the last moves links nearer to the least node
         e = cut_lineage(_star(_star(e, True), False))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:

@@ -7,9 +7,14 @@ from importlib import import_module
 MODULES = ("leaks", "mixing", "neardup", "packing", "pairs", "sentences", "truncation")
 
 
+def load() -> list:
+    """The modules of all problems; ``ImportError`` where a dependency is missing."""
+    return [import_module(f"loomwright.llm.{m}") for m in MODULES]
+
+
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"loomwright.llm.{m}").QUERIES.items()}
+    return {k: f for m in load() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in import_module(f"loomwright.llm.{m}").SQL.items()}
+    return {k: s for m in load() for k, s in m.SQL.items()}

@@ -102,7 +102,7 @@ def test_template_clusters_against_brute_force(spark):
 
     rng = random.Random(4)
     words = [f"w{i}" for i in range(30)]
-    base = [[rng.choice(words) for _ in range(rng.choice([6, 12, 40]))] for _ in range(60)]
+    base = [[rng.choice(words) for _ in range(rng.choice([6, 60, 90]))] for _ in range(60)]
     texts = {" ".join(b) for b in base}
     for b in base:
         for _ in range(4):
