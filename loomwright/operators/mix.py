@@ -59,10 +59,15 @@ def take_per_group(df: DataFrame, by: list[str], order: list[Column], n: str | C
 
 
 def first_by_key(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first ``n`` rows of an order over the whole table: a distributed top-k, not a global sort."""
+    """The first ``n`` rows of an order, for a report: a top-k, whose rows pass one task's heap."""
     return df.orderBy(*order).limit(n)
 
 
+def lowest(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of an order where ``n`` is a share of the table: rows are numbered, no task holds them all."""
+    return global_index(df, list(order)).where(F.col("_row_idx") < n).drop("_row_idx")
+
+
 def upsample(df: DataFrame, key: str, factor: str | Column, seed: int = 42) -> DataFrame:
     """Each row ``floor(factor)`` times, and a share of ``frac(factor)`` of the rows once more.
 
@@ -78,7 +83,7 @@ def exact_upsample(df: DataFrame, key: str, available: int, wanted: int, seed: i
     """Exactly ``wanted`` rows: whole repeats, and the rows of least hash for the rest."""
     repeats, rest = divmod(wanted, available) if available else (0, 0)
     parts = [df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))] if repeats else []
-    parts += [first_by_key(df, rest, shuffle_key(seed, key), col(key)).withColumn("copy", F.lit(repeats))] if rest else []
+    parts += [lowest(df, rest, shuffle_key(seed, key), col(key)).withColumn("copy", F.lit(repeats))] if rest else []
     return reduce(DataFrame.unionByName, parts) if parts else df.limit(0).withColumn("copy", F.lit(0))
 
 

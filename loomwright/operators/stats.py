@@ -26,10 +26,10 @@ def counts_above(value: Column, marks: tuple[int, ...] = LENGTH_MARKS) -> list[C
 
 
 def fixed_bins(df: DataFrame, value: Column, low: float, high: float, n: int, by: list[str] | None = None) -> DataFrame:
-    """Histogram of ``n`` equal bins; the last one is closed on the right; values outside are left out."""
+    """Histogram of ``n`` equal bins; the last one is closed on the right; values below are in bin -1, above in bin ``n``, null ones in none."""
     width = (high - low) / n
-    b = F.least(F.floor((value - low) / width), F.lit(n - 1)).cast("int")
-    return df.where((value >= low) & (value <= high)).groupBy(*(by or []), b.alias("bin")).agg(F.count("*").alias("n"))
+    b = F.when(value < low, -1).when(value > high, n).otherwise(F.least(F.floor((value - low) / width), F.lit(n - 1))).cast("int")
+    return df.where(value.isNotNull()).groupBy(*(by or []), b.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def log_bins(df: DataFrame, value: Column, base: int = 2, by: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.functions.text import col
+from loomwright.operators.mix import global_index
 from loomwright.session import cut_lineage
 
 
@@ -73,21 +75,35 @@ def same_size(a: DataFrame, b: DataFrame, tolerance: float = 0.01) -> bool:
 
 
 def batch_requests(df: DataFrame, key: str, prompt: str, model: str, suffix: str = "", per_shard: int = 50_000) -> DataFrame:
-    """``shard, line``: one JSON request per row, its id the key and a suffix."""
+    """``shard, line``: one JSON request per row, its id the key and a suffix; shards of ``per_shard`` rows in the order of the key."""
     body = F.struct(F.lit(model).alias("model"), F.array(F.struct(F.lit("user").alias("role"), F.col(prompt).alias("content"))).alias("messages"))
     line = F.to_json(F.struct(F.concat(F.col(key).cast("string"), F.lit(suffix)).alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body")))
-    return df.where(F.col(prompt).isNotNull()).select(F.floor(F.pmod(F.xxhash64(key), F.lit(1 << 20)) / per_shard).cast("int").alias("shard"), line.alias("line"))
+    rows = global_index(df.where(F.col(prompt).isNotNull()).select(key, line.alias("line")), [F.col(key), F.col("line")])
+    return rows.select(F.floor(F.col("_row_idx") / per_shard).cast("int").alias("shard"), "line")
+
+
+def id_parts(custom_id: str | Column, sep: str = "_") -> tuple[Column, Column]:
+    """(first, rest) of a batch id: what stands before the first separator, and all behind it."""
+    p = F.split(col(custom_id), sep)
+    return F.get(p, F.lit(0)), F.array_join(F.slice(p, 2, F.size(p)), sep)
 
 
 RESULT = "custom_id string, response struct<status_code:int, body:struct<choices:array<struct<finish_reason:string, message:struct<content:string>>>, usage:struct<prompt_tokens:bigint, completion_tokens:bigint>>>"
 
 
-def batch_results(lines: DataFrame, line: str) -> DataFrame:
-    """Parsed results: malformed lines, filtered and failed ones are left out; the last of an id stays out of none."""
-    r = lines.select(F.from_json(line, RESULT).alias("r")).where("r.custom_id is not null and r.response.status_code = 200")
+def batch_results(lines: DataFrame, line: str, order: list[Column] | None = None) -> DataFrame:
+    """Parsed results: malformed lines, filtered and failed ones are left out.
+
+    Of results with one id all are given; with ``order`` only the last in that order, as a
+    dictionary filled line by line would hold.
+    """
+    r = lines.select(F.from_json(line, RESULT).alias("r"), F.struct(*(order or [F.lit(0)])).alias("_order")).where("r.custom_id is not null and r.response.status_code = 200")
     choice = F.try_element_at("r.response.body.choices", F.lit(1))
-    return r.where(F.size("r.response.body.choices") > 0).where(F.coalesce(choice["finish_reason"], F.lit("")) != "content_filter").select(
-        F.col("r.custom_id").alias("custom_id"), choice["message"]["content"].alias("content"), F.col("r.response.body.usage.prompt_tokens").alias("prompt_tokens"), F.col("r.response.body.usage.completion_tokens").alias("completion_tokens"))
+    r = r.where(F.size("r.response.body.choices") > 0).where(F.coalesce(choice["finish_reason"], F.lit("")) != "content_filter").select(
+        "_order", F.col("r.custom_id").alias("custom_id"), choice["message"]["content"].alias("content"), F.col("r.response.body.usage.prompt_tokens").alias("prompt_tokens"), F.col("r.response.body.usage.completion_tokens").alias("completion_tokens"))
+    if order is None:
+        return r.drop("_order")
+    return r.groupBy("custom_id").agg(F.max_by(F.struct("content", "prompt_tokens", "completion_tokens"), "_order").alias("x")).select("custom_id", "x.*")
 
 
 def cost(prompt: Column, completion: Column, per_million_in: float, per_million_out: float) -> Column:

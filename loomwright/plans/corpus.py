@@ -108,10 +108,7 @@ def rollup_added(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of a forest: events chained per user, each the child of the one before by hash.
-
-    The SQL beside it stops at depth 12, which a user with 8,192 events or more passes.
-    """
+    """Paths of a forest: the events of a user form a tree, walked along the best child."""
     e = table(spark, d, "events").select("event_id", "user_id", F.col("value").alias("quality"))
     return TB.best_paths(TB.forest(e, "event_id", "user_id"), "event_id", "parent", "quality", top_k=1).select("event_id", "depth", "root")
 
@@ -147,14 +144,14 @@ QUERIES = {
     "dedup_prompts": (dedup_prompts, "SELECT DISTINCT prompt_hash FROM model_outputs WHERE text IS NOT NULL AND lower(trim(text, ' ')) NOT IN (SELECT lower(trim(m.content, ' ')) FROM (SELECT unnest(messages) AS m FROM reformat_datasets) WHERE m.role = 'user' AND m.content IS NOT NULL)"),
     "describe_by_source": (describe_by_source, "SELECT source, count(n) AS chars_count, round(avg(n), 6) AS chars_mean, round(stddev_samp(n), 6) AS chars_std, CAST(min(n) AS INT) AS chars_min, CAST(max(n) AS INT) AS chars_max, round(quantile_cont(n, 0.25), 6) AS chars_p25, round(quantile_cont(n, 0.5), 6) AS chars_p50, round(quantile_cont(n, 0.75), 6) AS chars_p75 FROM (SELECT source, length(text) AS n FROM documents) GROUP BY 1"),
     "length_counters": (length_counters, "SELECT kind, count(*) AS n, " + ", ".join(f"count(*) FILTER (length(text) > {m}) AS over_{m}" for m in S.LENGTH_MARKS) + " FROM documents GROUP BY 1"),
-    "histogram_fixed": (histogram_fixed, "WITH k AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) >= 60), n AS (SELECT count(*) >= 60 AS kept FROM documents WHERE source IS NULL), d AS (SELECT CASE WHEN source IN (SELECT source FROM k) OR (source IS NULL AND (SELECT kept FROM n)) THEN source ELSE 'Other' END AS source, length(text) AS v FROM documents) SELECT source, CAST(least(floor(v / 250.0), 15) AS INT) AS bin, count(*) AS n FROM d WHERE v BETWEEN 0 AND 4000 GROUP BY ALL"),
+    "histogram_fixed": (histogram_fixed, "WITH k AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) >= 60), n AS (SELECT count(*) >= 60 AS kept FROM documents WHERE source IS NULL), d AS (SELECT CASE WHEN source IN (SELECT source FROM k) OR (source IS NULL AND (SELECT kept FROM n)) THEN source ELSE 'Other' END AS source, length(text) AS v FROM documents) SELECT source, CAST(CASE WHEN v > 4000 THEN 16 ELSE least(floor(v / 250.0), 15) END AS INT) AS bin, count(*) AS n FROM d GROUP BY ALL"),
     "histogram_log": (histogram_log, "SELECT lang, CAST(CASE WHEN length(text) < 1 THEN -1 ELSE floor(round(ln(length(text)) / ln(2.0), 9)) END AS INT) AS bin, count(*) AS n FROM documents GROUP BY ALL"),
     "source_percent": (source_percent, "WITH g AS (SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1) SELECT *, round(100.0 * chars / sum(chars) OVER (), 6) AS percent FROM g"),
     "top_longest": (top_longest, "SELECT doc_id, CAST(length(text) AS INT) AS n FROM documents ORDER BY n DESC, doc_id LIMIT 100"),
     "chunk_overlap": (chunk_overlap, "WITH o AS (SELECT doc_id, length(text) AS n, sum(length(text)) OVER (ORDER BY doc_id) AS stop FROM documents), r AS (SELECT doc_id, stop - n AS start, stop FROM o WHERE n > 0), c AS (SELECT *, unnest(range(CAST(start // 10000 AS BIGINT), CAST((stop - 1) // 10000 + 1 AS BIGINT))) AS chunk FROM r) SELECT doc_id, chunk, CAST(greatest(start - chunk * 10000, 0) AS BIGINT) AS chunk_start, CAST(least(stop - chunk * 10000, 10000) AS BIGINT) AS chunk_end FROM c"),
     "cube_source_lang": (cube_source_lang, "SELECT kind, lang, count(*) AS n, CAST(grouping(kind, lang) AS INT) AS gid FROM documents GROUP BY CUBE (kind, lang)"),
     "rollup_added": (rollup_added, "SELECT kind, CAST(CAST(added_at AS DATE) AS VARCHAR) AS day, count(*) AS n FROM documents GROUP BY ROLLUP (kind, CAST(CAST(added_at AS DATE) AS VARCHAR))"),
-    "tree_paths": (tree_paths, "WITH RECURSIVE e AS (SELECT event_id, value AS quality, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, user_id FROM events), f AS (SELECT c.event_id, c.quality, p.event_id AS parent FROM e c LEFT JOIN e p ON c.user_id = p.user_id AND p.rn = c.rn // 2), b AS (SELECT event_id, parent, row_number() OVER (PARTITION BY parent ORDER BY quality DESC NULLS LAST, event_id) AS k FROM f WHERE parent IS NOT NULL), t AS (SELECT event_id, 0 AS depth, event_id AS root FROM f WHERE parent IS NULL UNION ALL SELECT b.event_id, depth + 1, root FROM t JOIN b ON b.parent = t.event_id WHERE b.k <= 1 AND depth < 12) SELECT event_id, CAST(depth AS INT) AS depth, root FROM t"),
+    "tree_paths": (tree_paths, "WITH RECURSIVE e AS (SELECT event_id, value AS quality, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, user_id FROM events), f AS (SELECT c.event_id, c.quality, p.event_id AS parent FROM e c LEFT JOIN e p ON c.user_id = p.user_id AND p.rn = c.rn // 2), b AS (SELECT event_id, parent, row_number() OVER (PARTITION BY parent ORDER BY quality DESC NULLS LAST, event_id) AS k FROM f WHERE parent IS NOT NULL), t AS (SELECT event_id, 0 AS depth, event_id AS root FROM f WHERE parent IS NULL UNION ALL SELECT b.event_id, depth + 1, root FROM t JOIN b ON b.parent = t.event_id WHERE b.k <= 1) SELECT event_id, CAST(depth AS INT) AS depth, root FROM t"),
     "latest_event": (latest_event, "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS rn FROM events) WHERE rn = 1"),
     "document_ids": (document_ids, "SELECT doc_id, sha256(text || CAST(doc_id AS VARCHAR)) AS sha, 'documents_' || doc_id || '_train' AS row_id FROM documents"),
     "row_index": (row_index, "SELECT doc_id, row_number() OVER (ORDER BY md5('7_' || doc_id)) - 1 AS row_idx FROM documents"),

@@ -219,8 +219,8 @@ def label_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_requests(spark: SparkSession, d: str) -> DataFrame:
-    r = TB.batch_requests(table(spark, d, "nation"), "n_nationkey", "n_name", "m", "_x")
-    return r.select(F.get_json_object("line", "$.custom_id").alias("custom_id"), F.get_json_object("line", "$.body.messages[0].content").alias("content"))
+    r = TB.batch_requests(table(spark, d, "documents"), "doc_id", "text", "m", "_x", per_shard=300)
+    return r.select("shard", F.get_json_object("line", "$.custom_id").alias("custom_id"), F.get_json_object("line", "$.body.messages[0].content").alias("content"))
 
 
 def batch_results(spark: SparkSession, d: str) -> DataFrame:
@@ -295,7 +295,7 @@ length(text) - length(replace(text, 'e', '')) >= 40 AS letter_e, len(""" + _WL.f
     "position_ids": (position_ids, "WITH l AS (SELECT l_orderkey, list(CAST(l_quantity % 5 AS INT) ORDER BY l_linenumber, CAST(l_quantity % 5 AS INT)) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(flatten(list_transform(n, lambda x: range(x))), ',') AS ids, array_to_string(list_transform(range(0, len(n) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)), ',') AS ends FROM l"),
     "padded": (padded, "WITH t AS (SELECT DISTINCT seq_id, input_ids AS x FROM tokenized_sft WHERE input_ids IS NOT NULL) SELECT seq_id, md5(array_to_string(list_concat(x, list_transform(range(0, greatest(64 - len(x), 0)), lambda i: 0)), ',')) AS \"right\", md5(array_to_string(list_concat(list_transform(range(0, greatest(64 - len(x), 0)), lambda i: 0), x), ',')) AS \"left\", md5(array_to_string(CASE WHEN list_contains(x, 40) THEN list_transform(x, lambda y, i: CASE WHEN i <= list_position(x, 40) THEN y ELSE 0 END) ELSE x END, ',')) AS stopped FROM t"),
     "label_report": (label_report, "SELECT source, count(*) AS n, CAST(sum(len(input_ids)) AS BIGINT) AS tokens, CAST(sum(len(list_filter(labels, lambda x: x <> -100))) AS BIGINT) AS trained, count(*) FILTER (len(list_filter(labels, lambda x: x <> -100)) = 0) AS unlabelled FROM tokenized_sft WHERE input_ids IS NOT NULL GROUP BY 1"),
-    "batch_requests": (batch_requests, "SELECT n_nationkey || '_x' AS custom_id, n_name AS content FROM nation"),
+    "batch_requests": (batch_requests, "SELECT CAST((row_number() OVER (ORDER BY doc_id) - 1) // 300 AS INT) AS shard, doc_id || '_x' AS custom_id, text AS content FROM documents"),
     "batch_results": (batch_results, "SELECT CAST(n_nationkey AS VARCHAR) AS custom_id, n_name AS content, round((n_nationkey * 10 * 2.5 + n_nationkey * 10.0) / 1000000, 9) AS cost FROM nation WHERE n_nationkey % 7 <> 3 AND n_nationkey % 5 <> 0"),
     "human_acceptance": (human_acceptance, _J + " SELECT model, count(*) AS n, round(avg(CASE WHEN x = 'yes' THEN 1.0 ELSE 0.0 END), 6) AS accepted FROM (SELECT model_a AS model, a AS x FROM j UNION ALL SELECT model_b, b FROM j) WHERE x IS NOT NULL GROUP BY 1"),
     "human_wins": (human_wins, _J + ", s AS (SELECT model_a AS model, p IN ('a-is-better', 'a-is-slightly-better') AS w, p IN ('b-is-better', 'b-is-slightly-better') AS l, p = 'tie' AS t FROM j WHERE p IS NOT NULL UNION ALL SELECT model_b, p IN ('b-is-better', 'b-is-slightly-better'), p IN ('a-is-better', 'a-is-slightly-better'), p = 'tie' FROM j WHERE p IS NOT NULL) SELECT model, count(*) FILTER (w) AS wins, count(*) FILTER (l) AS losses, count(*) FILTER (t) AS ties, round(avg(CASE WHEN w THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM s GROUP BY 1"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.operators.mix import lowest
 from loomwright.operators.tables import chunk_boundaries
 
 
@@ -49,7 +50,7 @@ def first_rows(df: DataFrame, spec: str, order: str) -> DataFrame:
     if not limit:
         return df
     n = int(df.count() * float(limit[:-1]) / 100) if limit.endswith("%") else int(limit)
-    return df.orderBy(order).limit(n)
+    return lowest(df, n, F.col(order))
 
 
 def write_lines(df: DataFrame, path: str, per_file: int | None = None, by: str | None = None) -> None:

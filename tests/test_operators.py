@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import numpy as np
@@ -224,6 +225,14 @@ def test_tree_and_batches(spark):
     assert TB.same_size(e, e) and not TB.same_size(e, e.limit(3))
     lines = TB.batch_requests(spark.createDataFrame([(1, "hi"), (2, None)], "k long, t string"), "k", "t", "m").collect()
     assert len(lines) == 1 and json.loads(lines[0]["line"])["custom_id"] == "1"
+    many = TB.batch_requests(spark.range(25).selectExpr("id AS k", "'x' AS t"), "k", "t", "m", per_shard=10)
+    assert {r["shard"]: r["count"] for r in many.groupBy("shard").count().collect()} == {0: 10, 1: 10, 2: 5}
+    twice = [(i, json.dumps({"custom_id": c, "response": {"status_code": 200, "body": {"choices": [{"finish_reason": "stop", "message": {"content": t}}], "usage": {}}}})) for i, (c, t) in enumerate([("a", "one"), ("b", "two"), ("a", "three")])]
+    df = spark.createDataFrame(twice, "i int, l string")
+    assert TB.batch_results(df, "l").count() == 3
+    assert {r["custom_id"]: r["content"] for r in TB.batch_results(df, "l", [F.col("i")]).collect()} == {"a": "three", "b": "two"}
+    first, rest = TB.id_parts("c")
+    assert tuple(spark.createDataFrame([("x_1_2",)], "c string").select(first, rest).first()) == ("x", "1_2")
     assert TB.batch_results(spark.createDataFrame([("{",), ('{"custom_id":"1","response":{"status_code":500}}',), ('{"custom_id":"2","response":{"status_code":200,"body":{"choices":[]}}}',)], "l string"), "l").count() == 0
 
 
@@ -231,6 +240,7 @@ def test_statistics(spark):
     df = spark.createDataFrame([("a", 0), ("a", 4), ("b", 10), (None, 3), (None, None)], "c string, n int")
     bins = {r["bin"]: r["n"] for r in S.fixed_bins(df, F.col("n"), 0, 10, 5).collect()}
     assert bins == {0: 1, 1: 1, 2: 1, 4: 1}
+    assert {r["bin"]: r["n"] for r in S.fixed_bins(df, F.col("n"), 1, 4, 3).collect()} == {-1: 1, 2: 2, 3: 1}
     assert {r["c"]: r["count"] for r in S.merge_rare(df, "c", 2).groupBy("c").count().collect()} == {"a": 2, "Other": 1, None: 2}
     d = {r["c"]: r for r in S.describe(df, ["c"], {"n": F.col("n")}).collect()}
     assert d["a"]["n_p50"] == 2.0 and d["b"]["n_std"] is None
@@ -306,3 +316,33 @@ def test_paths_are_walked_to_their_end(spark, tmp_path):
         TB.best_paths(spark.createDataFrame([(1, None, 1.0), (2, 1, 1.0), (1, 2, 1.0)], "k long, p long, q double"), "k", "p", "q")
     spark.range(1, 8193).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), (-F.col("id")).cast("double").alias("value")).write.parquet(str(tmp_path / "events.parquet"))
     assert sorted(tuple(r) for r in tree_paths(spark, str(tmp_path)).collect()) == [(2**n, n, 1) for n in range(14)]
+
+
+def test_phrases_of_several_fields_and_long_items(spark):
+    train = spark.createDataFrame([(1, "The red fox runs; over the hill by night. What is it?"), (2, "the red fox runs"), (3, None), (4, "Over the hill by night"), (None, "the red fox runs over the hill by night")], "k long, text string")
+    items = spark.createDataFrame([("a", "red fox runs", "over the hill"), ("b", "red fox runs", None), ("c", "it", "the red"), ("d", None, ""), ("e", "fox runs over the hill by night what is it", None)], "i string, q string, a string")
+    got = {(r["k"], r["i"]) for r in D.phrase_matches(train, items, "k", "i", fields=["q", "a"]).collect()}
+    assert got == {(1, "a"), (1, "b"), (2, "b"), (1, "c"), (1, "e")}
+    assert D.phrase_matches(train, items.limit(0), "k", "i", fields=["q"]).count() == 0
+    assert D.ngram_coverage(train, items.selectExpr("i", "q AS text").limit(0), "k", "i").count() == 0
+
+
+def test_final_form_in_python_and_in_columns(spark):
+    from loomwright.functions import latex as L
+
+    cases = ["The answer is $1,000$", "x = \\text{three} apples", "\\frac12", "\\sqrt3", "5 \\text{ dollars}", "12, 13", "\\boxed{7}", "", "a $b$ c", "1,234,567", "\\overline{AB}", "y = 2x = 8\\,km", "line\nbreak $3$"]
+    got = [r["f"] for r in spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", L.final_form_column(F.col("c")).alias("f")).orderBy("i").collect()]
+    assert got == [L.final_form(c) for c in cases]
+    assert got[0] == "1000" and got[2] == "\\frac{1}{2}" and got[3] == "\\sqrt{3}" and got[9] == "1234567"
+
+
+def test_lowest_is_a_share_of_an_order(spark):
+    assert sorted(r["id"] for r in M.lowest(spark.range(100), 37, F.col("id").desc()).collect()) == list(range(63, 100))
+
+
+def test_a_missing_dependency_of_the_optional_part_leaves_the_rest():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and set(e.oracle_sql()) <= set(q) and 'p1_found' not in q"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=False).returncode == 0
