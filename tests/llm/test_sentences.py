@@ -37,45 +37,87 @@ def test_units(text, want):
     assert got == want
 
 
-def test_chunks_compose_to_the_whole():
-    part = "A b. C d.\n\n```\nx. y\n\nz.\n```\n\n- one. Two.\n\nUser: hi. Yes.\n\n~~~\ncode\n\n```\n\n~~~\n\n"
-    text = part * 40 + "```\nopen. Never\n\nclosed"
+WHOLE = 1 << 60
+PART = "A b. C d.\n\n```\nx. y\n\nz.\n```\n\n- one. Two.\n\nUser: hi. Yes.\n\n~~~\ncode\n\n```\n\n~~~\n\n"
+
+
+@pytest.mark.parametrize("text", [
+    PART * 40 + "```\nopen. Never\n\nclosed",
+    "A b “c d.\r\nE f” (g.\r\nH i) j.\r\n" * 30 + "\r\nK. L",
+    "A b.\r\n\r\n```\r\nx. y\r\n" * 9 + " \r\n\r\n",
+    "A b.\n\u200b \u200b\nC d. E\r\n" * 9,
+    "He said “one. Two (three. Four “five. Six” seven. Eight) nine. Ten.” And left. " * 30,
+    "# A heading that is long. And goes on\nText (here. There\nand. Then) so. " * 20,
+    "ค่าเพิ่มจาก ก่อน วางตะแกรงไว้\n  แล้ว (ไป กลับ) มา " * 20,
+])
+def test_chunks_of_any_size_agree(text):
+    want = B.unit_ends(text, WHOLE)
     for size in (1, 17, 60, 400):
-        chunks = list(B.cut_chunks(text, size))
-        assert "".join(c for _, c in chunks) == text
-        entry = B.compose_prefixes([B.transition(c) for _, c in chunks])
-        got = [at + e for k, ((at, c), q) in enumerate(zip(chunks, entry)) for e in B.unit_ends(c, int(q), k == len(chunks) - 1)]
-        assert got == list(B.unit_ends(text))
+        chunks = B.chunks_of(text, size)
+        assert "".join(text[c.start : c.end] for c in chunks) == text and (len(chunks) > 1 or size == 400)
+        assert B.unit_ends(text, size) == want
+
+
+PIECES = ["Word one. ", "Two ", "“", "”", "(", ")", "«", "»", "„", "\"", "'", "‘", "’", "「", "」", "e.g. ", "3.5 ", "\n", "\n\n", "\r\n", "- item ", "# head ", "User: ", "```\n", "~~~", "ไทย ", "字。", "! ", "? ", "... ", "\u200b", "   ", "it's ", ": ", "\u2028", "<a b>\n"]
+
+
+def test_random_texts_in_chunks_of_any_size():
+    import random
+
+    rng = random.Random(11)
+    for _ in range(1500):
+        text = "".join(rng.choice(PIECES) for _ in range(rng.randint(1, 60)))
+        want = B.unit_ends(text, WHOLE)
+        assert want == sorted(set(want))
+        for size in (1, 5, 23):
+            assert B.unit_ends(text, size) == want, (text, size)
 
 
-@pytest.mark.parametrize("text", ["A b “c d.\r\nE f” (g.\r\nH i) j.\r\n" * 30 + "\r\nK. L", "A b.\r\n\r\n```\r\nx. y\r\n" * 9 + " \r\n\r\n", "A b.\n\u200b \u200b\nC d. E\r\n" * 9])
-def test_chunks_agree_whatever_the_line_ends(text):
-    for size in (1, 17, 60):
-        chunks = list(B.cut_chunks(text, size))
-        entry = B.compose_prefixes([B.transition(c) for _, c in chunks])
-        got = [at + e for k, ((at, c), q) in enumerate(zip(chunks, entry)) for e in B.unit_ends(c, int(q), k == len(chunks) - 1)]
-        assert got == list(B.unit_ends(text))
+@pytest.mark.parametrize("text,want", [
+    ("(a. Two (three (four) five) six. Seven) eight. Nine", ["(a. Two (three (four) five) six. Seven) eight.", "Nine"]),
+    ("«One. He said «no» twice. Done.» Next.", ["«One. He said «no» twice. Done.»", "Next."]),
+    ("“One. He said “no” twice. Done.” Next.", ["“One. He said “no” twice. Done.”", "Next."]),
+    ("‘" + "Word here. " * 300 + "End.’ Next.", ["‘" + "Word here. " * 300 + "End.’", "Next."]),
+    ("He ((left. Then) came.", ["He ((left. Then) came."]),
+    ("„Gut. Ja.“ Er ging. »So. Da.« Sie kam.", ["„Gut. Ja.“", "Er ging.", "»So. Da.«", "Sie kam."]),
+])
+def test_pairs_of_any_depth_and_length(text, want):
+    got, at = [], 0
+    for e in B.unit_ends(text):
+        got.append(text[at:e].strip())
+        at = e
+    assert got == want
 
 
 def test_a_line_break_of_two_characters_is_no_blank_line():
-    prose = "The cat sat on the mat and\r\nlooked. " * 26_000
-    assert len(prose) > B.CHUNK_CHARS * 8 and len(list(B.cut_chunks(prose))) == 1
+    prose = "The cat sat on the mat and\r\nlooked. " * 2_600
+    assert len(B.unit_ends(prose)) == 2_600
 
 
 def test_operator_on_dirty_rows(spark):
     long = "One. Two.\n\n```\na. b\n\nc\n```\n\n" * 300
     df = spark.createDataFrame([(1, "Hi. There", "x"), (2, None, "x"), (3, "", "x"), (4, " ", None), (1, "Hi. There", "x"), (5, long, "x")], "doc_id long, text string, sent_end string")
-    rows = [(r["doc_id"], r["sent_end"]) for r in sentence_ends(df, long_text=200).collect()]
+    rows = [(r["doc_id"], r["sent_end"]) for r in sentence_ends(df, long_text=200, long_chunk=300).collect()]
     assert sorted(e for d, e in rows if d == 1) == [3, 3, 9, 9]
-    assert sorted(e for d, e in rows if d == 5) == list(B.unit_ends(long))
+    assert sorted(e for d, e in rows if d == 5) == B.unit_ends(long, WHOLE)
     assert {d for d, _ in rows} == {1, 5}
     assert sentence_ends(df.limit(0)).count() == 0
 
 
+def test_one_long_paragraph_in_rows_of_its_chunks(spark):
+    long = "She said “it is so. Perhaps (or not. Who knows) it is.” He nodded. Ja „gut. Nein“ und so. " * 200
+    rows = spark.createDataFrame([(1, long), (2, long + "\n\n```\nx. y\n"), (3, "(" + long)], "doc_id long, text string")
+    got = {}
+    for r in sentence_ends(rows, long_text=100, long_chunk=700).collect():
+        got.setdefault(r["doc_id"], []).append(r["sent_end"])
+    assert {k: sorted(v) for k, v in got.items()} == {r["doc_id"]: B.unit_ends(r["text"], WHOLE) for r in rows.collect()}
+
+
 @pytest.mark.parametrize("text", ["it is 'tis and " * 3000, "a ( b " * 9000, "- item here. Yes\n" * 4000, "." * 40000, 'say "no ' * 9000, "word word. Next\n" * 9000, "(" * 30000, "«" * 30000])
 def test_long_odd_texts_take_linear_time(text):
     import time
 
     began = time.time()
-    ends = list(B.unit_ends(text))
+    ends = B.unit_ends(text)
+    assert ends == B.unit_ends(text, WHOLE)
     assert ends[-1] == len(text.rstrip()) and time.time() - began < 5
