@@ -2,7 +2,8 @@
 
 A character n-gram model, read backwards from a position, tells how often texts end (a line
 ends) behind a context and how often they go on.  Contexts of 10, 6, 3 and 1 characters
-are counted at every position of every line outside code, per language; digits count as one
+are counted at every position of every line outside code, per language, where a bit map of all texts'
+final contexts says that some text may ask for them; digits count as one
 character and lines are padded at their start, so that short lines are known as wholes.
 Each distinct text counts once, however often it stands.
 The final context of a text is judged by the longest of its contexts with enough evidence,
@@ -40,6 +41,11 @@ LOW, HIGH, STEP = -8.0, 2.0, 0.25
 #: Shift of the threshold for a line without and with a mark that seems to end a sentence.
 NO_END, SEEMING_END = 1.0, -2.0
 
+#: In place of a context that may not judge; hashes are not negative.
+NOT_ASKED = -1
+#: Bits of the map of final contexts, as powers of two: 16 for each, 16 MB at most.
+LEAST_BITS, MOST_BITS = 16, 27
+
 _MARKS = re.compile(r"<\|[^|<>]*\|>")
 _SPEAKER = re.compile(rf"^\s*[*\[]*(?:{'|'.join(map(re.escape, sorted(SPEAKERS, key=len, reverse=True)))})[*\]]*\s*[:：][*\]]*", re.I | re.M)
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)", re.M)
@@ -137,8 +143,8 @@ def _hashes(a: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
                 yield k + 1, (acc + np.uint64(k + 1)) * np.uint64(0x94D049BB133111EB)
 
 
-def _counted(lang: int, lines: list[str]) -> Iterator[pd.DataFrame]:
-    """Contexts of the lines of one language: hash, times seen, times at the end of a line."""
+def _counted(lang: int, lines: list[str], bits: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Contexts of the lines of one language that the bit map knows: hash, times seen, times at the end of a line."""
     a = _codes(lines)
     real = a != 2
     end = np.zeros(len(a), dtype=bool)
@@ -146,8 +152,9 @@ def _counted(lang: int, lines: list[str]) -> Iterator[pd.DataFrame]:
     end[-1] = real[-1]
     salt = np.uint64((lang + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
     for _, h in _hashes(a):
-        key = ((h ^ salt) & ~np.uint64(1)) | end
-        k, n = np.unique(key[real], return_counts=True)
+        key = (((h ^ salt) & ~np.uint64(1)) | end)[real]
+        at = (key >> np.uint64(1)).astype(np.int64) & (len(bits) * 8 - 1)
+        k, n = np.unique(key[((bits[at >> 3] >> (at & 7)) & 1).astype(bool)], return_counts=True)
         yield pd.DataFrame({"ctx": (k >> np.uint64(1)).astype(np.int64), "n": n, "e": np.where(k & np.uint64(1), n, 0)})
 
 
@@ -173,31 +180,50 @@ def seems_ended(line: str) -> bool:
 
 
 def asked_contexts(found: list[int], line: str, ended: bool) -> list[int]:
-    """The final contexts that may judge a line; -1 for one that may not.
+    """The final contexts that may judge a line; ``NOT_ASKED`` for one that may not.
 
     Three characters cannot tell the end of a word from an abbreviation, so behind a seeming end
     only longer contexts speak.  The last letter alone says nothing about a list item.
     """
     if ended:
-        found[ORDERS.index(3)] = found[ORDERS.index(1)] = -1
+        found[ORDERS.index(3)] = found[ORDERS.index(1)] = NOT_ASKED
     elif _LIST_LINE.match(line):
-        found[ORDERS.index(1)] = -1
+        found[ORDERS.index(1)] = NOT_ASKED
     return found
 
 
-def count_contexts(texts: DataFrame, text: str) -> DataFrame:
-    """``ctx, n, e`` over all lines of all distinct texts; partly aggregated before the shuffle.
+def _bit_map(contexts: DataFrame) -> np.ndarray:
+    """A bit for each context, or-ed in eight tasks: the driver gets eight maps of 16 MB at most."""
+    n = contexts.count()
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(bits // 8, dtype=np.uint8)
+        for b in batches:
+            at = b["ctx"].to_numpy() & (bits - 1)
+            np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pd.DataFrame({"m": [held.tobytes()]})
+
+    total = np.zeros(bits // 8, dtype=np.uint8)
+    for r in contexts.coalesce(8).mapInPandas(run, "m binary").toLocalIterator():
+        total |= np.frombuffer(r["m"], dtype=np.uint8)
+    return total
+
+
+def count_contexts(texts: DataFrame, text: str, bit_map: np.ndarray) -> DataFrame:
+    """``ctx, n, e`` over all lines of all distinct texts, of the contexts the bit map knows; partly aggregated before the shuffle.
 
     Copies, also with other line ends or blanks around them, are no evidence for one another.
     """
+    asked = texts.sparkSession.sparkContext.broadcast(bit_map.tobytes())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[str]] = {}
-        size = 0
+        size, bits = 0, np.frombuffer(asked.value, dtype=np.uint8)
 
         def flush() -> Iterator[pd.DataFrame]:
             for lang, lines in held.items():
-                yield from _counted(lang, lines)
+                yield from _counted(lang, lines, bits)
             held.clear()
 
         for b in batches:
@@ -237,14 +263,17 @@ def log_odds(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 
     d = texts.select(*keys, F.col(text).alias("_t")).where(F.col("_t").isNotNull())
     schema = T.StructType(d.select(*keys).schema.fields + T.StructType.fromDDL("lang int, verdict string, ctxs array<bigint>").fields)
-    finals = d.mapInPandas(run, schema)
-    counts = count_contexts(texts, text)
-    asked = finals.select(*keys, "lang", "verdict", F.posexplode_outer("ctxs").alias("o", "ctx"))
+    finals = cut_lineage(d.mapInPandas(run, schema))
+    asked = finals.select(*keys, "lang", "verdict", F.posexplode("ctxs").alias("o", "ctx")).where(F.col("ctx") != NOT_ASKED)
+    counts = count_contexts(texts, text, _bit_map(asked.select("ctx").distinct()))
     need = F.element_at(F.array(*[F.lit(EVIDENCE[o]) for o in ORDERS]), F.col("o") + 1)
     own_n, own_e = F.col("n") - 1, F.col("e") - 1
     met = F.when((own_n >= need) | (F.col("o") == len(ORDERS) - 1), F.struct("o", F.log((own_e + 0.3) / (own_n - own_e + 0.3)).alias("lo"), own_n.alias("n")))
-    return asked.join(counts, "ctx", "left").groupBy(*keys, "lang", "verdict").agg(F.min(met).alias("best")).select(
+    judged = asked.join(counts, "ctx", "left").groupBy(*keys, "lang", "verdict").agg(F.min(met).alias("best")).select(
         *keys, "lang", "verdict", F.col("best.lo").alias("lo"), F.col("best.o").alias("o"))
+    # What its shape has settled is not joined to anything.
+    settled = finals.where(F.size("ctxs") == 0).select(*keys, "lang", "verdict", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("int").alias("o"))
+    return judged.unionByName(settled.distinct())
 
 
 def thresholds(odds: DataFrame) -> dict[int, float]:
@@ -264,7 +293,7 @@ def thresholds(odds: DataFrame) -> dict[int, float]:
             if abs(new - t) < 1e-6:
                 break
             t = new
-        out[lang] = float(min(max(t, -4.0), -2.5))
+        out[lang] = float(t)
     return out
 
 
