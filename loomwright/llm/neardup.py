@@ -16,8 +16,9 @@ average, so beyond the radius collisions are only likely: ``recall`` computes th
 pair of a similarity meets in some table from the masks: 0.9967 at 0.6, 0.9997 at 0.65 and over
 0.9999 at 0.7.
 
-Colliding pairs are compared on 256-bit sketches and on their sizes inside the join, so what
-leaves the join is close to the result; it is then verified on the substrings themselves.
+A row of a table is a bucket, a number and 64 bits of a sketch.  Colliding pairs are compared on
+these bits inside the join, distinct ones on the whole sketch of 256 bits, and what is left, which
+is close to the result, is verified on the substrings themselves.
 Exact copies are collapsed before, so a text that holds a third of all rows is one row here.
 A hot bucket is not gathered anywhere: the join sorts and streams it, and adaptive execution
 splits its partition on both sides.
@@ -28,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,17 +145,28 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = part.column(1).to_pylist()
             sig = signatures(texts)
             keys, sk = table_keys(sig), sketches(sig)
-            arrays = [part.column(0), pa.array([len(t) for t in texts], pa.int32())]
+            arrays = [part.column(0)]
             arrays += [pa.array(np.ascontiguousarray(sk[:, k])) for k in range(sk.shape[1])]
             arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel())))
-            yield pa.RecordBatch.from_arrays(arrays, names=["h", "n", *(f"s{k}" for k in range(sk.shape[1])), "keys"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", *(f"s{k}" for k in range(sk.shape[1])), "keys"])
 
 
-@F.udf(T.DoubleType(), useArrow=True)
-def exact_similarity(a: str, b: str) -> float:
-    x, y = (np.unique(_shingles([t])[0]) for t in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+@F.pandas_udf(T.DoubleType())
+def exact_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Shared substrings over all; a text that comes again in a batch is cut up once."""
+    sets: dict[str, np.ndarray] = {}
+
+    def of(t: str) -> np.ndarray:
+        if t not in sets:
+            sets[t] = np.unique(_shingles([t])[0])
+        return sets[t]
+
+    out = np.empty(len(a))
+    for i, (s, t) in enumerate(zip(a, b)):
+        x, y = of(s), of(t)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out[i] = both / (len(x) + len(y) - both)
+    return pd.Series(out)
 
 
 def text_classes(df: DataFrame, key: str, text: Column, least: int = LEAST_CHARS) -> DataFrame:
@@ -172,17 +185,25 @@ def near_duplicates(df: DataFrame, key: str, text: Column, similarity: float = S
     """
     classes = text_classes(df, key, text, least)
     members = classes.select("key", "h").distinct()
-    reps = cut_lineage(classes.groupBy("h").agg(F.first("text").alias("text")))
-    words = SKETCH_BITS // 64
-    signed = cut_lineage(reps.mapInArrow(_sign, "h binary, n int, " + ", ".join(f"s{k} long" for k in range(words)) + ", keys array<bigint>"))  # both sides of the join read it
-    rows = signed.select("h", "n", *(f"s{k}" for k in range(words)), F.explode("keys").alias("bucket"))
-    other = rows.withColumnsRenamed({c: f"{c}_" for c in rows.columns if c != "bucket"})
-    differing = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_"))) for k in range(1, words)), F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_"))))
-    met = (F.col("h") < F.col("h_")) & (differing <= most_differing_bits(similarity))
-    pairs = rows.join(other, (rows["bucket"] == other["bucket"]) & met).select("h", "h_").distinct()
+    reps = cut_lineage(classes.groupBy("h").agg(F.first("text").alias("text")).withColumn("id", F.monotonically_increasing_id()))
+    words = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+    signed = cut_lineage(reps.select("id", "text").mapInArrow(_sign, "id long, " + ", ".join(f"{w} long" for w in words) + ", keys array<bigint>"))  # both sides of the join read it
+
+    def differing(names: list[str]) -> Column:
+        return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in names[1:]), F.bit_count(F.col(names[0]).bitwiseXOR(F.col(f"{names[0]}_"))))
+
+    def other(df: DataFrame) -> DataFrame:
+        return df.withColumnsRenamed({c: f"{c}_" for c in df.columns})
+
+    rows = signed.select("id", "s0", F.explode("keys").alias("bucket"))
+    met = (F.col("bucket") == F.col("bucket_")) & (F.col("id") < F.col("id_")) & (differing(words[:1]) <= most_differing_bits(similarity, 64))
+    pairs = rows.join(other(rows), met).select("id", "id_").distinct()
+    sketch = signed.select("id", *words)
+    close = pairs.join(sketch, "id").join(other(sketch), "id_").where(differing(words) <= most_differing_bits(similarity)).select("id", "id_")
     links = (
-        pairs.join(reps.withColumnRenamed("text", "t1"), "h").join(reps.select(F.col("h").alias("h_"), F.col("text").alias("t2")), "h_")
-        .select(F.col("h").alias("a"), F.col("h_").alias("b"), exact_similarity("t1", "t2").alias("similarity")).where(F.col("similarity") >= similarity)
+        close.join(reps, "id").join(other(reps), "id_")
+        .select(F.col("h").alias("a"), F.col("h_").alias("b"), exact_similarity("text", "text_").alias("similarity")).where(F.col("similarity") >= similarity)
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
     )
     return links, members
 
