@@ -11,6 +11,13 @@ import json
 import re
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomwright.functions.text import col
+
 # ---- Fixed values -------------------------------------------------------------------------
 LESS = "less than"
 FIXED_ANSWERS = ("My answer is yes.", "My answer is no.", "My answer is maybe.")
@@ -215,3 +222,24 @@ def older(name: str, answer: str, args: dict) -> bool:
     return bool(OLDER[name](answer, **args))
 
 
+
+
+def rule_columns(text: str | Column, rules: dict[str, tuple[str, dict]], older_set: bool = False) -> list[Column]:
+    """A boolean column per rule, named by the keys of ``rules``; all rules read a text in one Arrow stage.
+
+    A null text gives nulls; a rule that cannot be applied to its arguments gives false.
+    """
+    asked = list(rules.values())
+
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def run(texts: pd.Series) -> pd.Series:
+        def one(name: str, s: str, args: dict) -> bool:
+            try:
+                return older(name, s, args) if older_set else follows(name, s, args)
+            except (ValueError, IndexError, TypeError, KeyError):
+                return False
+
+        return pd.Series([None if s is None else [one(n, s, a) for n, a in asked] for s in texts], dtype=object)
+
+    held = run(col(text))
+    return [F.get(held, F.lit(k)).alias(name) for k, name in enumerate(rules)]
