@@ -13,12 +13,13 @@ import string
 from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.functions import checks, latex
-from loomwright.functions.text import after_last, col, final_answer, normalize_answer, once, split_ws, strip, without_thinking
+from loomwright.functions.text import after_last, col, final_answer, normalize_answer, strip, without_thinking
 
 # ---- Columns --------------------------------------------------------------------------------
 
@@ -46,17 +47,23 @@ def puzzle(prediction: str | Column, label: str | Column) -> Column:
     return (normalize_answer(without_thinking(prediction)) == normalize_answer(label)).cast("double")
 
 
-def f1_of_words(a: Column, b: Column) -> Column:
-    """F1 of two word lists: words in common count as often as both have them.  Give columns made by ``once``."""
-    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, w: n + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
-    p, r = common / F.size(a), common / F.size(b)
-    return F.when(F.size(F.array_intersect(a, b)) > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+@F.pandas_udf(T.DoubleType())
+def token_f1_column(a: pd.Series, b: pd.Series) -> pd.Series:
+    """F1 of the words of two normalised texts: words in common count as often as both have them.  Null beside null."""
+    out = []
+    for x, y in zip(a, b):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        x, y = x.split(), y.split()
+        common = sum((Counter(x) & Counter(y)).values())
+        out.append(2 * common / (len(x) + len(y)) if common else 0.0)
+    return pd.Series(out, dtype=float)
 
 
 def string_f1(df: DataFrame, prediction: str, label: str, name: str) -> DataFrame:
     """Adds token F1 of the normalised texts, of a prediction what follows its reasoning."""
-    words = df.withColumn("_a", once(split_ws(normalize_answer(after_last(prediction, "</think>"))))).withColumn("_b", once(split_ws(normalize_answer(label))))
-    return words.withColumn(name, f1_of_words(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return df.withColumn(name, token_f1_column(normalize_answer(after_last(prediction, "</think>")), normalize_answer(label)))
 
 
 def search_exact(prediction: str | Column, labels: str | Column) -> Column:

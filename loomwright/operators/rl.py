@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.functions.text import col
 
@@ -37,27 +38,59 @@ def pass_rate(df: DataFrame, by: str, correct: Column, low: float, high: float)
     return g.withColumn("passrate", F.round(rate, 6)).where((rate >= low) & (rate <= high))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _returns(values: pd.Series, gamma: pd.Series) -> pd.Series:
+    out = []
+    for v, g in zip(values, gamma):
+        if v is None:
+            out.append(None)
+            continue
+        back, total = np.empty(len(v)), 0.0
+        for t in range(len(v) - 1, -1, -1):
+            total = v[t] + g * total
+            back[t] = total
+        out.append(back)
+    return pd.Series(out, dtype=object)
+
+
 def discounted(values: str | Column, gamma: float) -> Column:
-    """Discounted sums from the end of an array of doubles."""
-    fold = F.aggregate(F.reverse(col(values)), F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out")), lambda a, x: F.struct((x + gamma * a["s"]).alias("s"), F.concat(F.array(x + gamma * a["s"]), a["out"]).alias("out")), lambda a: a["out"])
-    return fold
-
-
-def gae(values: str | Column, rewards: str | Column, dones: str | Column, gamma: float = 1.0, lam: float = 0.95) -> Column:
-    """Generalised advantages of one sequence; a done step cuts off what follows it."""
-    v, r, d = col(values), col(rewards), col(dones)
-    following = F.concat(F.slice(v, 2, 1_000_000), F.array(F.lit(0.0)))
-    steps = F.arrays_zip(v.alias("v"), following.alias("n"), r.alias("r"), d.cast("array<double>").alias("d"))
-    fold = F.aggregate(
-        F.reverse(steps),
-        F.struct(F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out")),
-        lambda a, x: F.struct(
-            (x["r"] + gamma * x["n"] * (1 - x["d"]) - x["v"] + gamma * lam * (1 - x["d"]) * a["g"]).alias("g"),
-            F.concat(F.array(x["r"] + gamma * x["n"] * (1 - x["d"]) - x["v"] + gamma * lam * (1 - x["d"]) * a["g"]), a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return fold
+    """Discounted sums from the end of an array of doubles, in one pass."""
+    return _returns(col(values).cast("array<double>"), F.lit(float(gamma)))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _advantages(values: pd.Series, rewards: pd.Series, goes_on: pd.Series, gamma: pd.Series, lam: pd.Series) -> pd.Series:
+    out = []
+    for v, r, on, g, k in zip(values, rewards, goes_on, gamma, lam):
+        if v is None or r is None or on is None:
+            out.append(None)
+            continue
+        back, last = np.empty(len(v)), 0.0
+        for t in range(len(v) - 1, -1, -1):
+            following = v[t + 1] if t + 1 < len(v) else 0.0
+            last = r[t] - v[t] + on[t] * g * (following + k * last)
+            back[t] = last
+        out.append(back)
+    return pd.Series(out, dtype=object)
+
+
+def gae(values: str | Column, rewards: str | Column, dones: str | Column, gamma: float = 1.0, lam: float = 0.95, response: str | Column | None = None) -> Column:
+    """Generalised advantages of a row of packed sequences, in one pass from its end.
+
+    A done step cuts off what follows it; so does, where a mask of responses is given, a step
+    of a query.  Marks over 1 (a sequence's number) count as 1.  A null array gives null.
+    """
+    on = F.transform(col(dones), lambda d: 1 - F.least(d.cast("double"), F.lit(1.0)))
+    if response is not None:
+        on = F.zip_with(on, F.transform(col(response), lambda m: F.least(m.cast("double"), F.lit(1.0))), lambda a, b: a * b)
+    return _advantages(col(values).cast("array<double>"), col(rewards).cast("array<double>"), on, F.lit(float(gamma)), F.lit(float(lam)))
+
+
+def masked_mean(values: str | Column, mask: str | Column, denominator: float | None = None) -> Column:
+    """Mean of an array where a mask is set, or its sum there over a fixed number; null where nothing is."""
+    total = F.aggregate(F.zip_with(col(values), col(mask), lambda v, m: v.cast("double") * m), F.lit(0.0), lambda a, x: a + x)
+    n = F.lit(float(denominator)) if denominator is not None else F.aggregate(col(mask), F.lit(0.0), lambda a, m: a + m)
+    return F.when(n != 0, total / n)
 
 
 def position_ids(lengths: str | Column) -> Column:

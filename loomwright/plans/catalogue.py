@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("conversations", "corpus", "formats", "more", "rules", "training")
+MODULES: tuple[str, ...] = ("conversations", "corpus", "datasets", "formats", "more", "rules", "training")
 
 
 def queries() -> dict:

@@ -128,6 +128,16 @@ def repetition_flags(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", "r.reason", "r.block")
 
 
+def repetition_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Reasons of texts with repetitions planted: paragraphs and sentences, over and under the filter's limits."""
+    k, name = F.col("p_partkey") % 6, F.col("p_name")
+    one = lambda times, sep: F.array_join(F.array_repeat(F.concat(name, F.lit(" this time")), times), sep)
+    apart = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(31)), lambda i: F.concat(name, F.lit(" this time\n\nPlan "), i.cast("string"))), "\n\n")
+    text = F.when(k == 0, one(12, "\n\n")).when(k == 1, one(9, "\n\n")).when(k == 2, one(8, ". ")).when(k == 3, one(7, "! ")).when(k == 4, apart).otherwise(one(12, "? "))
+    t = table(spark, d, "part").select("p_partkey", R.repetition(text).alias("r")).where("r is not null")
+    return t.select("p_partkey", "r.reason", "r.block")
+
+
 def repetition_islands(spark: SparkSession, d: str) -> DataFrame:
     return R.islands(table(spark, d, "documents"), "doc_id", X.sentences("text"))
 
@@ -182,6 +192,7 @@ QUERIES = {
     "filter_language": (filter_language, "SELECT source, count(*) AS n FROM documents WHERE lower(lang) = 'en' GROUP BY 1"),
     "length_band": (length_band, f"SELECT doc_id, CAST(len({_WORDLIST}) AS INT) AS n_words FROM documents WHERE len({_WORDLIST}) BETWEEN 20 AND 120"),
     "repetition_flags": (repetition_flags, None),
+    "repetition_planted": (repetition_planted, "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'paragraph_repeated_12x' WHEN 2 THEN 'line_repeated_8x_consecutive_short_phrase' WHEN 4 THEN 'paragraph_repeated_31x' ELSE 'line_repeated_12x_consecutive_short_phrase' END AS reason, p_name || ' this time' AS block FROM part WHERE p_partkey % 6 IN (0, 2, 5) OR (p_partkey % 6 = 4 AND length(p_name) >= 10)"),
     "repetition_islands": (repetition_islands, f"WITH s AS (SELECT doc_id, {_SENT} AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS item, generate_subscripts(l, 1) - 1 AS pos FROM s), y AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item ORDER BY pos) AS g FROM x WHERE length(item) >= 5), r AS (SELECT doc_id, item, g, count(*) AS run, min(pos) AS first FROM y GROUP BY ALL) SELECT doc_id, item, CAST(sum(run) AS BIGINT) AS n, max(run) AS longest_run, CAST(min(first) AS INT) AS first_pos FROM r GROUP BY 1, 2 HAVING sum(run) > 1"),
     "repeated_ngrams": (repeated_ngrams, f"WITH w AS (SELECT doc_id, {_WORDLIST.replace('text', 'lower(text)')} AS l FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) AS ngram FROM w), c AS (SELECT doc_id, ngram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 2) SELECT doc_id, count(*) AS n_ngrams, max(n) AS most FROM c GROUP BY 1"),
     "placeholder_rewrite": (placeholder_rewrite, f"WITH c AS (SELECT id, list_transform(messages, lambda m: {{'role': m.role, 'content': replace(m.content, 'compost', 'the Compost')}}) AS f, len(list_filter(messages, lambda m: m.role = 'system')) > 0 AS s FROM ({_BASE})), o AS (SELECT id, CASE WHEN s THEN f ELSE list_concat([{{'role': 'system', 'content': 'You help.'}}], f) END AS f FROM c) SELECT id, CAST(len(f) AS INT) AS n, md5(array_to_string(list_transform(f, lambda m: concat_ws(':', m.role, m.content)), '|')) AS h FROM o"),

@@ -59,9 +59,9 @@ def chunked_dialogues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def convert_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Prompt and first output of model_outputs as conversations, dispatched by their columns."""
-    m = table(spark, d, "model_outputs").where("text is not null").select("prompt_hash", "model", F.col("text").alias("prompt"), F.try_element_at("outputs", F.lit(1))["text"].alias("completion")).distinct()
-    return CV.to_messages(m).select("prompt_hash", "model", F.md5(F.array_join(F.transform("messages", lambda x: F.concat_ws("=", x["role"], F.coalesce(x["content"], F.lit("?")))), "|")).alias("h"))
+    """Prompts and outputs of model_outputs as conversations, dispatched by their columns."""
+    m = table(spark, d, "model_outputs").where("text is not null").select("prompt_hash", "model", F.col("text").alias("prompt"), F.explode("outputs").alias("o")).select("prompt_hash", "model", "prompt", F.col("o.index").alias("out_index"), F.col("o.text").alias("completion")).distinct()
+    return CV.to_messages(m).select("prompt_hash", "model", "out_index", F.md5(F.array_join(F.transform("messages", lambda x: F.concat_ws("=", x["role"], F.coalesce(x["content"], F.lit("?")))), "|")).alias("h"))
 
 
 def convert_instruction(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +196,7 @@ QUERIES = {
     "label_mask_last": (label_mask_last, None),
     "truncated_messages": (truncated_messages, None),
     "chunked_dialogues": (chunked_dialogues, None),
-    "convert_pairs": (convert_pairs, "SELECT DISTINCT prompt_hash, model, md5('user=' || text || '|assistant=' || coalesce(outputs[1].text, '?')) AS h FROM model_outputs WHERE text IS NOT NULL"),
+    "convert_pairs": (convert_pairs, "SELECT DISTINCT prompt_hash, model, o.index AS out_index, md5('user=' || text || '|assistant=' || coalesce(o.text, '?')) AS h FROM (SELECT prompt_hash, model, text, unnest(outputs) AS o FROM model_outputs WHERE text IS NOT NULL)"),
     "convert_instruction": (convert_instruction, "SELECT p_partkey, md5(" + "CASE WHEN p_partkey % 2 = 0 THEN '" + CV.WITH_INPUT.replace("{0}", "' || p_name || '").replace("{1}", "' || p_type || '").replace("\n", "' || chr(10) || '") + "' ELSE '" + CV.WITHOUT_INPUT.replace("{0}", "' || p_name || '").replace("\n", "' || chr(10) || '") + "' END) AS prompt, p_brand AS answer FROM part"),
     "convert_turns": (convert_turns, f"SELECT id, array_to_string(list_transform(messages, lambda m: m.role), ',') AS roles FROM {_C} WHERE len(messages) > 0"),
     "marked_dialogues": (marked_dialogues, None),

@@ -13,6 +13,7 @@ from loomwright.operators import rl as R
 from loomwright.operators import stats as S
 from loomwright.operators import tables as TB
 from loomwright.schema import concat_aligned
+from loomwright.plans.datasets import _GAE
 from loomwright.sources.tables import table
 
 
@@ -136,8 +137,9 @@ def reward_gsm8k(spark: SparkSession, d: str) -> DataFrame:
 
 def reward_f1(spark: SparkSession, d: str) -> DataFrame:
     """Token F1 of each prompt's answers against the prompt."""
-    m = table(spark, d, "model_outputs").where("text is not null").select("prompt_hash", "model", "text", F.try_element_at("outputs", F.lit(1))["text"].alias("a")).where("a is not null").distinct()
-    return V.string_f1(m, "a", "text", "f1").select("prompt_hash", "model", F.round("f1", 6).alias("f1"))
+    m = table(spark, d, "model_outputs").where("text is not null").select("prompt_hash", "model", "text", F.explode("outputs").alias("o"))
+    m = m.select("prompt_hash", "model", "text", F.col("o.index").alias("out_index"), F.col("o.text").alias("a")).where("a is not null").distinct()
+    return V.string_f1(m, "a", "text", "f1").select("prompt_hash", "model", "out_index", F.round("f1", 6).alias("f1"))
 
 
 def reward_length(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +171,7 @@ def if_checks(spark: SparkSession, d: str) -> DataFrame:
     lines = F.split(t, "\n")
     return table(spark, d, "documents").select(
         "doc_id", (~t.contains(",")).alias("no_comma"), (~t.contains("!")).alias("no_exclamation"), (~t.contains(".")).alias("no_dot"),
-        (X.count_matches(t, r"\[.*?\]") >= 1).alias("placeholder"), t.rlike(r"<<[^\n]+>>").alias("title"), (F.size(F.regexp_extract_all(t, F.lit(r"([a-zA-Z])"), F.lit(1))) >= 300).alias("letters"),
+        (X.count_matches(t, r"\[.*?\]") >= 1).alias("placeholder"), t.rlike(r"<<[^\n]+>>").alias("title"), (F.length(F.regexp_replace(t, r"[^a-zA-Z]+", "")) >= 300).alias("letters"),
         (F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[*-]"))) == 3).alias("bullets"), (F.size(F.split(t, r"\n\n")) == 3).alias("three_paragraphs"), (F.upper(t) == t).alias("upper"), (F.lower(t) == t).alias("lower"),
         t.startswith("User").alias("starts"), t.endswith(".").alias("ends"), F.lower(t).contains("filter").alias("keyword"), (X.count_matches(F.lower(t), "table") >= 2).alias("frequency"), t.contains("******").alias("two"),
         (F.length(t) - F.length(F.replace(t, F.lit("e"), F.lit(""))) >= 40).alias("letter_e"), (F.size(X.split_ws(t)) >= 100).alias("words"), (F.startswith(t, F.lit('"')) & F.endswith(t, F.lit('"'))).alias("quoted"),
@@ -259,6 +261,16 @@ _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[!-/:-
 _MASKED = "list_filter(attention_mask, lambda x: x = 1)"
 _WL = "list_filter(regexp_split_to_array({x}, '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{1c}}-\\x{{1f}}]+'), lambda s: s <> '')"
 
+
+def _plain_words(x: str) -> str:
+    """SQL for the words of a text lower-cased, without ASCII marks and English articles."""
+    w, blank = r"\p{L}\p{N}_", r"\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    plain = f"regexp_replace(lower({x}), '[!-/:-@\\[-`{{-~]', '', 'g')"
+    for _ in range(3):  # neighbouring articles share a blank
+        plain = f"regexp_replace({plain}, '(^|[^{w}])(?:a|an|the)($|[^{w}])', '\\1 \\2', 'g')"
+    return f"list_filter(regexp_split_to_array({plain}, '[{blank}]+'), lambda q: q <> '')"
+
+
 QUERIES = {
     "prefs_best_worst": (prefs_best_worst, _BW + " SELECT * FROM g"),
     "prefs_margin": (prefs_margin, _BW + " SELECT prompt, chosen, rejected, round(chosen_score - rejected_score, 6) AS margin FROM g WHERE chosen_score - rejected_score >= 20"),
@@ -280,7 +292,11 @@ QUERIES = {
     "zero_std_groups": (zero_std_groups, f"WITH g AS (SELECT prompt, min(r) AS lo, max(r) AS hi FROM (SELECT prompt, CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END AS r FROM ({_L})) GROUP BY 1) SELECT CASE WHEN lo < hi THEN 'differs' WHEN lo >= 1 THEN 'solved' WHEN hi = 0 THEN 'zero' ELSE 'same' END AS kind, count(*) AS n_groups FROM g GROUP BY 1"),
     "pass_rate_band": (pass_rate_band, f"SELECT prompt, count(*) AS total_rollouts, count(*) FILTER (l_returnflag = 'N') AS total_correct_rollouts, round(count(*) FILTER (l_returnflag = 'N') / count(*), 6) AS passrate FROM ({_L}) GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'N') / count(*) BETWEEN 0.25 AND 0.75"),
     "reward_gsm8k": (reward_gsm8k, r"WITH t AS (SELECT doc_id, regexp_replace(text, '(\d),(\d)', '\1\2', 'g') AS p, regexp_extract(text, '(\d+)\D*$', 1) AS y FROM documents), n AS (SELECT doc_id, y, p, regexp_extract_all(p, '([-+]?\d*\.\d+|\d+)', 1) AS l FROM t) SELECT doc_id, CAST(lower(CASE WHEN len(l) > 0 THEN l[-1] ELSE p END) = lower(y) AS DOUBLE) AS score FROM n"),
-    "reward_f1": (reward_f1, None),
+    "reward_f1": (
+        reward_f1,
+        f"WITH o AS (SELECT DISTINCT prompt_hash, model, text, o.index AS out_index, o.text AS a FROM (SELECT prompt_hash, model, text, unnest(outputs) AS o FROM model_outputs WHERE text IS NOT NULL) WHERE o.text IS NOT NULL), w AS (SELECT prompt_hash, model, out_index, {_plain_words("string_split(a, '</think>')[-1]")} AS x, {_plain_words('text')} AS y FROM o), "
+        "c AS (SELECT *, coalesce(list_sum(list_transform(list_intersect(list_distinct(x), list_distinct(y)), lambda q: least(len(list_filter(x, lambda z: z = q)), len(list_filter(y, lambda z: z = q))))), 0) AS n FROM w) SELECT prompt_hash, model, out_index, round(CASE WHEN n = 0 THEN 0 ELSE 2.0 * n / (len(x) + len(y)) END, 6) AS f1 FROM c",
+    ),
     "reward_length": (reward_length, "SELECT DISTINCT seq_id, round(1 - abs(len(input_ids) - 100) / 1024.0, 6) AS near, round(CASE WHEN len(input_ids) <= 100 THEN 1.0 ELSE 1 - (len(input_ids) - 100) / 1024.0 END, 6) AS up_to FROM tokenized_sft WHERE input_ids IS NOT NULL"),
     "reward_flan": (reward_flan, f"SELECT n_nationkey, CAST({_PLAIN.format(x=chr(39) + 'the ' + chr(39) + ' || lower(n_name) || ' + chr(39) + '.' + chr(39))} = {_PLAIN.format(x='n_name')} AS DOUBLE) AS flan, CAST(1 AS DOUBLE) AS puzzle, CAST(1 AS DOUBLE) AS matcher, CAST(1 AS DOUBLE) AS format FROM nation"),
     "reward_combined": (reward_combined, r"SELECT n_nationkey, CAST(2 + CASE WHEN regexp_extract_all(n_name, '(\d+)', 1)[-1] = '7' THEN 1 ELSE 0 END AS DOUBLE) AS reward, CAST(2 AS DOUBLE) AS flan FROM nation"),
@@ -289,7 +305,7 @@ QUERIES = {
 regexp_matches(text, '<<[^\n]+>>') AS title, len(regexp_extract_all(text, '([a-zA-Z])', 1)) >= 300 AS letters, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*[*-]'))) = 3 AS bullets, len(string_split(text, chr(10) || chr(10))) = 3 AS three_paragraphs,
 upper(text) = text AS upper, lower(text) = text AS lower, starts_with(text, 'User') AS starts, ends_with(text, '.') AS ends, contains(lower(text), 'filter') AS keyword, len(regexp_extract_all(lower(text), '(table)', 1)) >= 2 AS frequency, contains(text, '******') AS two,
 length(text) - length(replace(text, 'e', '')) >= 40 AS letter_e, len(""" + _WL.format(x="text") + r""") >= 100 AS words, starts_with(text, '"') AND ends_with(text, '"') AS quoted, len(regexp_extract_all(text, '(\*[^\n\*]*\*)', 1)) >= 1 AS highlight, contains(text, 'P.S.') AS postscript FROM documents"""),
-    "gae": (gae, None),
+    "gae": (gae, _GAE.format(stop="false") + " SELECT user_id, round(sum(g), 4) AS total, CAST(count(*) AS INT) AS n FROM a GROUP BY 1"),
     "discounted": (discounted, "SELECT l_orderkey, round(sum(l_discount * power(0.5, rn - 1)), 9) AS first_return FROM (SELECT l_orderkey, l_discount, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount) AS rn FROM lineitem) GROUP BY 1"),
     "pack_next_fit": (pack_next_fit, f"WITH RECURSIVE t AS (SELECT DISTINCT coalesce(source, 'none') AS source, seq_id, len({_MASKED}) AS n FROM tokenized_sft WHERE input_ids IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq_id) AS rn FROM t), r AS (SELECT source, rn, n, n AS fill, CASE WHEN n > 2048 THEN 1 ELSE 0 END AS pack FROM o WHERE rn = 1 UNION ALL SELECT o.source, o.rn, o.n, CASE WHEN r.fill + o.n > 2048 THEN o.n ELSE r.fill + o.n END, CASE WHEN r.fill + o.n > 2048 THEN r.pack + 1 ELSE r.pack END FROM r JOIN o ON o.source = r.source AND o.rn = r.rn + 1) SELECT source, CAST(pack AS BIGINT) AS pack, count(*) AS n_seqs, CAST(sum(n) AS BIGINT) AS n_tokens FROM r GROUP BY ALL"),
     "position_ids": (position_ids, "WITH l AS (SELECT l_orderkey, list(CAST(l_quantity % 5 AS INT) ORDER BY l_linenumber, CAST(l_quantity % 5 AS INT)) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(flatten(list_transform(n, lambda x: range(x))), ',') AS ids, array_to_string(list_transform(range(0, len(n) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)), ',') AS ends FROM l"),

@@ -346,3 +346,41 @@ def test_a_missing_dependency_of_the_optional_part_leaves_the_rest():
 
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and set(e.oracle_sql()) <= set(q) and 'p1_found' not in q"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=False).returncode == 0
+
+
+def test_corpora(spark):
+    from loomwright.operators import corpora as K
+
+    df = spark.createDataFrame([("gpt-4-x", 1), ("gpt-3.5", 2), ("other", 3), (None, 4)], "model string, k long")
+    assert {r["k"] for r in K.subset(df, "wildchat", "gpt4").collect()} == {1}
+    with pytest.raises(Exception, match="no subset"):
+        K.with_subset(df, K.SUBSETS["wildchat"], exhaustive=True).collect()
+    assert {r["k"] for r in K.keep_models(df, ignore=["other"]).collect()} == {1, 2, 4} and K.keep_models(df, include=["other"]).count() == 1
+    assert K.transform_named("rlvr_tokenize_v1") == ("rlvr_tokenize_v3", "map")
+    with pytest.raises(ValueError):
+        K.transform_named("none")
+    got = K.rows_at(df.where("model is not null"), [F.col("k")], [0, -1]).collect()
+    assert {r["k"] for r in got} == {1, 3}
+    with pytest.raises(IndexError):
+        K.rows_at(df, [F.col("k")], 9)
+    e0, e1 = (K.epoch_batches(spark.range(50).withColumnRenamed("id", "k"), "k", 2, 0, 8, epoch=e).collect() for e in (0, 1))
+    assert len(e0) == len(e1) == 24 and {r["k"] % 2 for r in e0 + e1} == {0} and [r["k"] for r in e0] != [r["k"] for r in e1]
+    p = K.problems(df, "k", "model", "k", 200).where("k = 1").first()
+    assert p["dataset"] == ["math", "max_length"] and 100 <= int(p["ground_truth"][1]) < 200
+    assert K.questions(df.limit(0), "model", "k").count() == 0
+
+
+def test_packed_advantages_restart_at_done_steps_and_queries(spark):
+    rng = random.Random(3)
+    v, r = [rng.random() for _ in range(9)], [rng.random() for _ in range(9)]
+    done, mask = [0, 0, 1, 0, 0, 0, 1, 0, 3], [1, 1, 1, 0, 1, 2, 1, 0, 1]
+    want, last = [0.0] * 9, 0.0
+    for t in range(8, -1, -1):
+        on = (1 - min(done[t], 1)) * min(mask[t], 1)
+        nxt = v[t + 1] if t < 8 else 0.0
+        last = r[t] + 0.9 * nxt * on - v[t] + 0.9 * 0.8 * last * on
+        want[t] = last
+    df = spark.createDataFrame([(v, r, done, mask), (None, None, None, None), ([], [], [], [])], "v array<double>, r array<double>, d array<int>, m array<int>")
+    got = df.select(rl.gae("v", "r", "d", 0.9, 0.8, "m").alias("g"), rl.masked_mean("v", F.expr("transform(m, x -> int(x > 0))")).alias("x")).collect()
+    assert np.allclose(got[0]["g"], want) and got[1]["g"] is None and got[2]["g"] == [] and got[2]["x"] is None
+    assert np.isclose(got[0]["x"], np.mean([a for a, m in zip(v, mask) if m]))
