@@ -17,8 +17,10 @@ Items up to ``SKETCH`` shingles keep all others and are found without fail.  Of
 ``recall`` gives the least chance: it holds where every run found is just ``width`` words long
 and stands alone; runs of twice that length already leave less than one miss in 10,000.
 
-Only hashes that pass a bit map of the sketches leave the scan.  The map has 16 bits for each
-hash of the sketches, 16 MB at most; beyond that more hashes pass and the join does the rest.
+Only documents with a hash that passes a Bloom filter of the sketches leave the scan, with their
+hashes that do and their text, which the verification needs: about one document in a thousand
+passes by chance.  The filter has 64 bits for each hash of the sketches, 32 MB at most; beyond
+that more documents pass and the join does the rest.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ WIDTH, SHARE = 8, 0.5
 SKETCH = 64
 #: Part of the words asked for that shingles left out of a sampled sketch may cover.
 SAMPLED_SPARE = 0.125
-#: Bits of the map, as powers of two.
-LEAST_BITS, MOST_BITS = 16, 27
+#: Bits of the filter, as powers of two, and probes of a hash.
+LEAST_BITS, MOST_BITS = 16, 28
+PROBES = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]
 
 
 def scale_of(shingles: int, sketch: int = SKETCH) -> float:
@@ -125,16 +128,30 @@ def item_sketches(classes: DataFrame, share: float = SHARE, width: int = WIDTH,
     return whole.mapInPandas(run, "cls binary, scale double, h long")
 
 
-def _bit_map(hashes: DataFrame) -> np.ndarray:
-    """A bit for each hash, or-ed per partition before it reaches the driver: eight maps at most."""
+def _bit_of(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((h.astype(np.uint64) * np.uint64(probe)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
+def passes(held: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The hashes that the filter knows; each probe looks only at what the ones before it let pass."""
+    for probe in PROBES:
+        at = _bit_of(h, probe, len(held) * 8)
+        h = h[((held[at >> 3] >> (at & 7)) & 1).astype(bool)]
+    return h
+
+
+def _bloom_filter(hashes: DataFrame) -> np.ndarray:
+    """The filter of all hashes, or-ed in eight tasks: the driver gets eight of them, one at a time."""
     n = hashes.count()
-    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * n - 1).bit_length() if n else 0))
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(bits // 8, dtype=np.uint8)
         for b in batches:
-            at = b["h"].to_numpy() & (bits - 1)
-            np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for probe in PROBES:
+                at = _bit_of(b["h"].to_numpy(), probe, bits)
+                np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pd.DataFrame({"m": [held.tobytes()]})
 
     total = np.zeros(bits // 8, dtype=np.uint8)
@@ -143,25 +160,17 @@ def _bit_map(hashes: DataFrame) -> np.ndarray:
     return total
 
 
-def document_hits(docs: DataFrame, bit_map: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """``doc, h``: distinct shingle hashes of a document that may belong to a sketch."""
-    held = docs.sparkSession.sparkContext.broadcast(bit_map.tobytes())
+def documents_hit(docs: DataFrame, bloom: np.ndarray, width: int = WIDTH) -> DataFrame:
+    """``doc, text, hs`` of the documents with shingles that may belong to a sketch, and the distinct hashes of these."""
+    held = docs.sparkSession.sparkContext.broadcast(bloom.tobytes())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, bits = WordHasher(), np.frombuffer(held.value, dtype=np.uint8)
-        mask = len(bits) * 8 - 1
         for b in batches:
-            keys, found = [], []
-            for k, t in zip(b["doc"], b["text"]):
-                h = shingle_hashes(hasher(words_of(t)), width).astype(np.int64)
-                at = h & mask
-                h = np.unique(h[((bits[at >> 3] >> (at & 7)) & 1).astype(bool)])
-                if len(h):
-                    found.append(h)
-                    keys += [k] * len(h)
-            yield pd.DataFrame({"doc": pd.Series(keys, dtype=b["doc"].dtype), "h": np.concatenate(found) if found else np.zeros(0, dtype=np.int64)})
+            found = [np.unique(passes(bits, shingle_hashes(hasher(words_of(t)), width).astype(np.int64))) for t in b["text"]]
+            yield b[["doc", "text"]].assign(hs=found)[[len(h) > 0 for h in found]]
 
-    return docs.mapInPandas(run, f"doc {dict(docs.dtypes)['doc']}, h long")
+    return docs.select("doc", "text").mapInPandas(run, f"doc {dict(docs.dtypes)['doc']}, text string, hs array<long>")
 
 
 def covered_words(doc_words: list[str], items: list[list[str]], width: int = WIDTH) -> list[int]:
@@ -194,8 +203,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     members = cut_lineage(read_items(items, item_key, text))
     classes = members.groupBy("cls").agg(F.first("words").alias("words"))
     sketches = cut_lineage(item_sketches(classes, share, width, sketch))
-    hits = document_hits(d, _bit_map(sketches.select("h").distinct()), width)
-    candidates = hits.join(sketches.select("cls", "h"), "h").select("doc", "cls").distinct()
+    hit = cut_lineage(documents_hit(d, _bloom_filter(sketches.select("h").distinct()), width).withColumn("row", F.monotonically_increasing_id()))
+    candidates = hit.select("row", F.explode("hs").alias("h")).join(sketches.select("cls", "h"), "h").select("row", "cls").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -205,8 +214,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
                 rows += [(k, x["cls"], len(w), n) for x, w, n in zip(xs, words, covered_words(words_of(t), words, width)) if n >= len(w) * share]
             yield pd.DataFrame(rows, columns=["doc", "cls", "n_words", "covered"]).astype({"doc": b["doc"].dtype})
 
-    asked = candidates.join(classes, "cls").groupBy("doc").agg(F.collect_list(F.struct("cls", "words")).alias("xs"))
-    checked = d.join(asked, "doc").mapInPandas(verify, f"doc {dict(d.dtypes)['doc']}, cls binary, n_words int, covered int")
+    asked = candidates.join(classes, "cls").groupBy("row").agg(F.collect_list(F.struct("cls", "words")).alias("xs"))
+    checked = hit.drop("hs").join(asked, "row").mapInPandas(verify, f"doc {dict(d.dtypes)['doc']}, cls binary, n_words int, covered int")
     return (
         checked.groupBy("doc", "cls", "n_words").agg(F.max("covered").alias("covered")).join(members.select("item", "cls").distinct(), "cls")
         .select("doc", "item", "n_words", "covered", (F.col("covered") / F.col("n_words")).alias("coverage"))
