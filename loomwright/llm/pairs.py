@@ -109,7 +109,9 @@ _NAMES = [(k, _name_pattern(v)) for k, v in LANGUAGE_NAMES.items()]
 _STOP = {w for ws in FUNCTION_WORDS.values() for w in ws}
 _EAST_CHAR = re.compile(r"[぀-ヿ㐀-鿿가-힣฀-๿]")
 _ARTICLES = set("a an the der die das den dem des ein eine einen einem einer eines le la les l un une des du el los las una unos unas".split())
+_FOREIGN_ARTICLES = _ARTICLES - {"a", "an", "the"}
 _CONJUNCTIONS = set("but however yet though aber doch jedoch pero aunque mais toutefois cependant но однако".split())
+_DIGITS = re.compile(r"\d+")
 _CLAUSE = re.compile(r"[,;:，、；：،]\s*|\s[—–-]\s")
 
 
@@ -221,7 +223,7 @@ def masked(prompt: Prompt, text: str) -> tuple[set[str], int]:
     else:
         latin = text.isascii() or len(_LATIN_WORD.findall(text)) * 2 > n
         hide = [x in prompt.content or (latin and not x.isascii() and x[0] > "\u024f") for x in w]
-        if latin and not _ARTICLES.isdisjoint(w) and (lang := language(text)) in FUNCTION_WORDS:  # a name in another language, behind its article
+        if latin and not _FOREIGN_ARTICLES.isdisjoint(w) and (lang := language(text)) in FUNCTION_WORDS:  # a name in another language, behind its article
             foreign = False
             for i, x in enumerate(w):
                 foreign = x not in FUNCTION_WORDS[lang] and (foreign or x in _ARTICLES)
@@ -230,7 +232,7 @@ def masked(prompt: Prompt, text: str) -> tuple[set[str], int]:
             if hide[i - 1] and not hide[i] and w[i] in prompt.all and (w[i] not in _STOP or (i + 1 < n and hide[i + 1]) or (i + 2 < n and hide[i + 2] and w[i + 1] in _STOP)):
                 hide[i] = True
         hide = [h or (x in _ARTICLES and i + 1 < n and hide[i + 1]) for i, (h, x) in enumerate(zip(hide, w))]
-    plain = [re.sub(r"\d+", "0", x) for x in w]
+    plain = _DIGITS.sub("0", " ".join(w)).split(" ") if w else []
     out = ["_" if h else x for i, (x, h) in enumerate(zip(plain, hide)) if not (h and i and hide[i - 1])]
     return {" ".join(x[1:] if len(x) > 1 and x[0] in _CONJUNCTIONS else x) for x in (plain, out)}, n
 
@@ -253,7 +255,8 @@ def opening(prompt: Prompt, answer_units: list[str]) -> tuple[list, list, int]:
     if SALUTATION.match(" ".join(head)):
         return [], [], LONG_REST + 1
     clauses = [c for h in head for c in _CLAUSE.split(h) if any(x.isalnum() for x in c)]
-    given = [(t, k, n, bool(DECLINE.search(c))) for k, c in enumerate(clauses) for ts, n in [masked(prompt, c)] for t in ts]
+    may = bool(DECLINE.search(" ".join(head)))
+    given = [(t, k, n, may and bool(DECLINE.search(c))) for k, c in enumerate(clauses) for ts, n in [masked(prompt, c)] for t in ts]
     sizes = [len(words_of(u)) for u in us]
     short = sum(sizes) <= 2 * LONG_REST and max(sizes, default=0) <= COURTESY_WORDS
     tail = [(t, k, n) for k, u in enumerate(us, len(clauses)) for ts, n in [masked(prompt, u)] for t in ts] if short else []
