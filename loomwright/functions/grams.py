@@ -1,4 +1,4 @@
-"""Hashes of word n-grams, and a bit map that tells which of them are worth leaving a scan."""
+"""Hashes of word n-grams, and a Bloom filter that tells which of them are worth leaving a scan."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Bits of the map, as powers of two: 16 for each hash, 16 MB at most.
-LEAST_BITS, MOST_BITS = 16, 27
+#: Bits of the filter, as powers of two: 64 for each hash, 32 MB at most; and probes of a hash.
+LEAST_BITS, MOST_BITS = 16, 28
+PROBES = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]
 
 
 class WordHashes(dict):
@@ -38,16 +39,22 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def bit_map(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bit for each hash.  It is or-ed in eight tasks, so the driver gets eight maps at most."""
+def _bit_of(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((h.astype(np.uint64) * np.uint64(probe)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
+def bloom_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """A filter of all hashes of a column.  It is or-ed in eight tasks, so the driver gets eight filters at most."""
     n = hashes.count()
-    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(bits // 8, dtype=np.uint8)
         for b in batches:
-            at = b[column].to_numpy() & (bits - 1)
-            np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for probe in PROBES:
+                at = _bit_of(b[column].to_numpy(), probe, bits)
+                np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pd.DataFrame({"m": [held.tobytes()]})
 
     total = np.zeros(bits // 8, dtype=np.uint8)
@@ -56,6 +63,10 @@ def bit_map(hashes: DataFrame, column: str) -> np.ndarray:
     return total
 
 
-def passes(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & (len(held) * 8 - 1)
-    return ((held[at >> 3] >> (at & 7)) & 1).astype(bool)
+def passing(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the filter knows; each probe looks only at what the ones before it let pass."""
+    left = np.arange(len(hashes))
+    for probe in PROBES:
+        at = _bit_of(hashes[left], probe, len(held) * 8)
+        left = left[((held[at >> 3] >> (at & 7)) & 1).astype(bool)]
+    return left

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.functions.grams import WordHashes, bit_map, gram_hashes, passes
+from loomwright.functions.grams import WordHashes, bloom_filter, gram_hashes, passing
 from loomwright.functions.text import col, once, word_ngrams
 from loomwright.session import cut_lineage
 
@@ -31,7 +31,7 @@ def _words(text: str) -> list[str]:
 
 
 def _grams_of(df: DataFrame, key: str, text: str, held: Broadcast, grams: tuple[int, ...], spelled: bool) -> DataFrame:
-    """``_key, _gram`` (and ``_words``): n-grams of a row, for every n of ``grams``, that the bit map lets pass."""
+    """``_key, _gram`` (and ``_words``): n-grams of a row, for every n of ``grams``, that the filter lets pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, bits = WordHashes(), np.frombuffer(held.value, dtype=np.uint8)
@@ -42,7 +42,7 @@ def _grams_of(df: DataFrame, key: str, text: str, held: Broadcast, grams: tuple[
                 h = known.of(w)
                 for n in grams:
                     g = gram_hashes(h, n)
-                    at = np.nonzero(passes(bits, g))[0]
+                    at = passing(bits, g)
                     once = dict(zip(g[at].tolist(), at.tolist()))
                     keys += [k] * len(once)
                     found += once
@@ -63,7 +63,7 @@ def _gram_hash(text: pd.Series) -> pd.Series:
 
 def _map_of(grams: DataFrame) -> tuple[Broadcast, DataFrame]:
     held = cut_lineage(grams)
-    return held.sparkSession.sparkContext.broadcast(bit_map(held.select("_gram").distinct(), "_gram").tobytes()), held
+    return held.sparkSession.sparkContext.broadcast(bloom_filter(held.select("_gram").distinct(), "_gram").tobytes()), held
 
 
 def phrase_matches(train: DataFrame, items: DataFrame, train_key: str, item_key: str, text: str = "text", seed: int = 8, fields: list[str] | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def phrase_matches(train: DataFrame, items: DataFrame, train_key: str, item_key:
 
     ``fields`` names several columns of an item, each a phrase; all that are not empty must then
     stand in the same row.  The scan of the rows lets only those runs of words pass whose hash a
-    bit map of the items' first runs of ``seed`` words (all of a shorter phrase) knows; what
+    Bloom filter of the items' first runs of ``seed`` words (all of a shorter phrase) knows; what
     passes is joined to the items, and the token strings of the pairs are searched.  Null and
     empty items match nothing.
     """
@@ -95,7 +95,7 @@ def ngram_coverage(train: DataFrame, items: DataFrame, train_key: str, item_key:
     """``train_key, item_key, score``: share of the item's words in n-grams that the row holds.
 
     An n-gram that comes twice in an item counts at its last place only.  Items under ``n``
-    words have no n-gram and match nothing.  Only n-grams that a bit map of the items' knows
+    words have no n-gram and match nothing.  Only n-grams that a Bloom filter of the items' knows
     leave the scan of the rows; the join is on the words themselves.
     """
     it = items.where(F.col(text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).alias("_item"), once(tokens(text)).alias("_iw"))
