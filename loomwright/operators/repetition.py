@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.functions.text import once, split_ws, word_ngrams
+from loomwright.functions.text import split_ws
 
 # ---- Fixed values -------------------------------------------------------------------------
 SYMBOLS = "=+-*/^()[]{}<>|&~!@#$%\\"
@@ -147,5 +149,16 @@ def islands(df: DataFrame, key: str, items: Column, least: int = 5) -> DataFrame
 
 def repeated_ngrams(df: DataFrame, key: str, text: str, n: int = 3, least: int = 2) -> DataFrame:
     """``key, ngram, n_times`` of lower-cased word n-grams that come ``least`` times or more in a text."""
-    words = df.select(key, once(split_ws(F.lower(text))).alias("_w"))
-    return words.select(key, F.explode(word_ngrams(F.col("_w"), n)).alias("ngram")).groupBy(key, "ngram").agg(F.count("*").alias("n_times")).where(F.col("n_times") >= least)
+    found = df.select(key, F.explode(_counted_ngrams(split_ws(F.lower(text)), F.lit(n), F.lit(least))).alias("x"))
+    return found.select(key, "x.ngram", "x.n_times")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("ngram", T.StringType()), T.StructField("n_times", T.LongType())])))
+def _counted_ngrams(words: pd.Series, n: pd.Series, least: pd.Series) -> pd.Series:
+    """N-grams of each text that come often enough, counted within the text."""
+    size, few = (int(n.iloc[0]), int(least.iloc[0])) if len(n) else (1, 1)
+    out = []
+    for w in words:
+        grams = Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if w is not None else {}
+        out.append([(" ".join(g), k) for g, k in grams.items() if k >= few])
+    return pd.Series(out, dtype=object)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,13 +77,21 @@ def id_type(vocabulary: int) -> np.dtype:
     return next(np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64) if vocabulary - 1 <= np.iinfo(t).max)
 
 
+def _open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder given as a URI, or as a path that all machines mount."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
 def write_tokens(df: DataFrame, key: str, ids: str, folder: str, vocabulary: int, chunk_tokens: int) -> DataFrame:
     """Flat binary chunks of token ids and a table of each document's stretch in them.
 
     Documents are laid end to end in key order; chunk ``n`` is ``tokens-n.bin``, written by one
-    task from the stretches that touch it.  Returns ``key, chunk, chunk_start, chunk_end``.
+    task from the stretches that touch it into the folder's own file system, which executors and
+    driver must share.  A task that runs again writes the same file.  Returns ``key, chunk,
+    chunk_start, chunk_end``.
     """
-    os.makedirs(folder, exist_ok=True)
+    store, path = _open_folder(folder)
+    store.create_dir(path, recursive=True)
     kind = id_type(vocabulary)
     spans = chunk_boundaries(df.select(key, F.size(ids).alias("n")), key, "n", chunk_tokens)
     whole = df.select(key, F.col(ids).alias("_ids"))
@@ -95,7 +103,9 @@ def write_tokens(df: DataFrame, key: str, ids: str, folder: str, vocabulary: int
         pdf = pdf.sort_values("chunk_start")
         flat = np.concatenate([np.asarray(x, dtype=kind) for x in pdf["ids"]]) if len(pdf) else np.zeros(0, kind)
         n = int(pdf["chunk"].iloc[0])
-        flat.tofile(f"{folder}/tokens-{n:05d}.bin")
+        store, path = _open_folder(folder)
+        with store.open_output_stream(f"{path}/tokens-{n:05d}.bin") as out:
+            out.write(flat.tobytes())
         return pd.DataFrame({"chunk": [n], "n": [len(flat)]})
 
     parts.groupBy("chunk").applyInPandas(run, "chunk long, n long").write.mode("overwrite").parquet(f"{folder}/chunks")
@@ -104,6 +114,9 @@ def write_tokens(df: DataFrame, key: str, ids: str, folder: str, vocabulary: int
 
 
 def read_tokens(folder: str, vocabulary: int) -> Iterator[np.ndarray]:
-    for name in sorted(os.listdir(folder)):
-        if name.endswith(".bin"):
-            yield np.fromfile(f"{folder}/{name}", dtype=id_type(vocabulary))
+    """The chunks in order, one at a time."""
+    store, path = _open_folder(folder)
+    names = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".bin")]
+    for name in sorted(names, key=lambda x: int(x.rsplit("-", 1)[1][:-4])):
+        with store.open_input_stream(name) as f:
+            yield np.frombuffer(f.read(), dtype=id_type(vocabulary))
