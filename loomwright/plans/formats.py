@@ -15,6 +15,7 @@ from loomwright.operators import convert as CV
 from loomwright.operators import stats as S
 from loomwright.plans.cache import Pipeline
 from loomwright.plans.conversations import strip_sql
+from loomwright.plans.rules import _strip, _words
 from loomwright.sources.tables import table
 from loomwright.streaming import queries as ST
 
@@ -184,6 +185,9 @@ _ROLE_CAP = "upper(m.role[1]) || lower(m.role[2:])"
 _TXT = "coalesce(m.content, '')"
 _ZEPHYR = f"array_to_string(list_transform(messages, lambda m: '<|' || m.role || '|>' || chr(10) || {_TXT} || '</s>' || chr(10)), '')"
 
+#: SQL for the turns of each conversation, numbered.
+_TURNS = f"WITH c AS (SELECT row_number() OVER () AS rid, id, messages FROM {_C}), u AS (SELECT rid, m.role AS role, m.content AS content, i FROM (SELECT rid, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM c))"
+
 QUERIES = {
     "chat_simple": (_chat("simple_chat"), f"SELECT id, md5(array_to_string(list_transform(messages, lambda m: {_ROLE_CAP} || ': ' || {_TXT}), chr(10) || chr(10)) || '</s>') AS h FROM {_C}"),
     "chat_concat": (_chat("simple_concat_with_space"), f"SELECT id, md5(array_to_string(list_transform(messages, lambda m: {_TXT}), ' ') || '</s>') AS h FROM {_C}"),
@@ -194,12 +198,26 @@ QUERIES = {
     "chat_r1": (_chat("r1_simple_chat", True), f"SELECT id, md5('{C.R1_PREAMBLE.replace(chr(10), '')}' || chr(10) || chr(10) || array_to_string(list_transform(messages, lambda m: {_ROLE_CAP} || ': ' || {_TXT} || chr(10)), chr(10) || chr(10)) || 'Assistant:') AS h FROM {_C}"),
     "label_mask": (label_mask, f"SELECT id, CAST(coalesce(list_sum(list_transform(messages, lambda m: strlen('<|' || m.role || '|>') + 1 + strlen({_TXT}) + 5)), 0) AS INT) AS n_tokens, CAST(coalesce(list_sum(list_transform(list_filter(messages, lambda m: m.role = 'assistant'), lambda m: strlen({_TXT}) + 5)), 0) AS INT) AS n_kept FROM {_C}"),
     "label_mask_last": (label_mask_last, None),
-    "truncated_messages": (truncated_messages, None),
-    "chunked_dialogues": (chunked_dialogues, None),
+    "truncated_messages": (
+        truncated_messages,
+        f"{_TURNS}, r AS (SELECT *, sum(coalesce(length(content), 0)) OVER (PARTITION BY rid ORDER BY CASE WHEN role = 'system' THEN 0 ELSE 1 END, i) AS s FROM u) "
+        "SELECT c.id, CAST(count(r.i) FILTER (r.s <= 400) AS INT) AS n, CAST(coalesce(sum(length(r.content)) FILTER (r.s <= 400), 0) AS INT) AS chars FROM c LEFT JOIN r USING (rid) GROUP BY c.rid, c.id",
+    ),
+    "chunked_dialogues": (
+        chunked_dialogues,
+        f"{_TURNS.replace('WITH', 'WITH RECURSIVE')}, p AS (SELECT rid, (i - 1) // 2 AS j, sum(coalesce(len({_words('content')}), 0) + 6) AS w FROM u GROUP BY 1, 2 HAVING count(*) = 2), q AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY j) AS k FROM p WHERE w <= 150), "
+        "g AS (SELECT rid, k, w AS n, 1 AS chunks FROM q WHERE k = 1 UNION ALL SELECT q.rid, q.k, CASE WHEN g.n + q.w <= 150 THEN g.n + q.w ELSE q.w END, g.chunks + CASE WHEN g.n + q.w <= 150 THEN 0 ELSE 1 END FROM g JOIN q ON q.rid = g.rid AND q.k = g.k + 1) "
+        "SELECT c.id, CAST(coalesce(max(g.chunks), 0) AS INT) AS n_chunks, CAST(coalesce(max(g.k) * 2, 0) AS INT) AS n_messages FROM c LEFT JOIN g USING (rid) GROUP BY c.rid, c.id",
+    ),
     "convert_pairs": (convert_pairs, "SELECT DISTINCT prompt_hash, model, o.index AS out_index, md5('user=' || text || '|assistant=' || coalesce(o.text, '?')) AS h FROM (SELECT prompt_hash, model, text, unnest(outputs) AS o FROM model_outputs WHERE text IS NOT NULL)"),
     "convert_instruction": (convert_instruction, "SELECT p_partkey, md5(" + "CASE WHEN p_partkey % 2 = 0 THEN '" + CV.WITH_INPUT.replace("{0}", "' || p_name || '").replace("{1}", "' || p_type || '").replace("\n", "' || chr(10) || '") + "' ELSE '" + CV.WITHOUT_INPUT.replace("{0}", "' || p_name || '").replace("\n", "' || chr(10) || '") + "' END) AS prompt, p_brand AS answer FROM part"),
     "convert_turns": (convert_turns, f"SELECT id, array_to_string(list_transform(messages, lambda m: m.role), ',') AS roles FROM {_C} WHERE len(messages) > 0"),
-    "marked_dialogues": (marked_dialogues, None),
+    "marked_dialogues": (
+        marked_dialogues,
+        "WITH s AS (SELECT doc_id, string_split(replace(replace(chr(10) || text, chr(10) || 'User: ', chr(1) || 'U'), chr(10) || 'Assistant: ', chr(1) || 'A'), chr(1))[2:] AS x FROM documents), "
+        f"t AS (SELECT doc_id, list_transform(list_filter(x, lambda p: p[1] = 'U'), lambda p: {_strip('p[2:]')}) AS us, list_transform(list_filter(x, lambda p: p[1] = 'A'), lambda p: {_strip('p[2:]')}) AS bs FROM s) "
+        "SELECT doc_id, CAST(2 * least(len(us), len(bs)) AS INT) AS n, md5(array_to_string(list_transform(range(1, least(len(us), len(bs)) + 1), lambda i: us[i] || '|' || bs[i]), '|')) AS h FROM t",
+    ),
     "lettered_choices": (lettered_choices, "WITH l AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY lower(n_name), n_name) AS k FROM nation) SELECT n_regionkey, string_agg(chr(CAST(64 + k AS INT)) || '. ' || n_name, chr(10) ORDER BY k) AS lines, chr(CAST(64 + max_by(k, n_name) AS INT)) AS letter FROM l GROUP BY 1"),
     "judge_scores": (judge_scores, "SELECT n_nationkey, round(CASE n_nationkey % 4 WHEN 0 THEN n_nationkey / 30 WHEN 1 THEN n_nationkey / 100 WHEN 2 THEN 1.0 ELSE 0.0 END, 6) AS free, CAST(n_nationkey AS DOUBLE) AS json, n_nationkey / 10 AS of_10, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS decision FROM nation"),
     "math_equal": (math_equal, "SELECT p_partkey, true AS slash, true AS decimal, false AS other FROM part WHERE p_size > 0"),
