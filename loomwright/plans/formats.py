@@ -229,7 +229,15 @@ md5(CASE WHEN regexp_matches(text, '(?s)<answer>.*?</answer>') THEN {strip_sql("
     "leaderboard": (leaderboard, "WITH e AS (SELECT user_id % 7 AS model, event_type, avg(value) AS s FROM events GROUP BY ALL), t AS (SELECT model, event_type, CASE WHEN max(s) OVER (PARTITION BY event_type) > 1 THEN s / 100 ELSE s END AS s FROM e) SELECT model, " + ", ".join(f"round(max(s) FILTER (event_type = '{t}'), 4) AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM t GROUP BY 1"),
     "stream_filter": (stream_filter, "SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE value > 10"),
     "stream_tumbling": (stream_tumbling, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"),
-    "stream_sliding": (stream_sliding, None),
-    "stream_sessions": (stream_sessions, None),
-    "stream_excluded": (stream_excluded, None),
+    # The table is one file, so one micro-batch sets the watermark and an empty one closes what it passes.
+    "stream_sliding": (
+        stream_sliding,
+        "WITH e AS (SELECT *, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events) SELECT strftime(s, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM e WHERE s + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY s, event_type",
+    ),
+    "stream_sessions": (
+        stream_sessions,
+        "WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b) "
+        "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)",
+    ),
+    "stream_excluded": (stream_excluded, "SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 10 AND count(*) FILTER (value > 20) >= 0.3 * count(*)"),
 }

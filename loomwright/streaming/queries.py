@@ -25,16 +25,18 @@ def stream_table(spark: SparkSession, path: str, per_trigger: int = 8) -> DataFr
     return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in schema.fields])
 
 
-def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_once(df: DataFrame, name: str, mode: str = "append", root: str | None = None) -> DataFrame:
     """Processes all that is there, then stops; the result is a table in the shared folder.
 
+    With ``root``, a folder of an earlier run, the stream goes on where that one stopped and only
+    reads what is new; without it every run starts from the beginning in a folder of its own.
     ``update`` and ``complete`` results keep what the last micro-batch of a key says, by
     writing each batch down with its number.
     """
     spark = df.sparkSession
     import uuid
 
-    root = f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    root = root or f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/log").trigger(availableNow=True)
     if mode == "append":
         w.format("parquet").option("path", f"{root}/data").start().awaitTermination()

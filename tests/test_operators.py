@@ -384,3 +384,14 @@ def test_packed_advantages_restart_at_done_steps_and_queries(spark):
     got = df.select(rl.gae("v", "r", "d", 0.9, 0.8, "m").alias("g"), rl.masked_mean("v", F.expr("transform(m, x -> int(x > 0))")).alias("x")).collect()
     assert np.allclose(got[0]["g"], want) and got[1]["g"] is None and got[2]["g"] == [] and got[2]["x"] is None
     assert np.isclose(got[0]["x"], np.mean([a for a, m in zip(v, mask) if m]))
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from loomwright.streaming import queries as ST
+
+    source = f"{tmp_path}/in"
+    spark.range(10).write.parquet(source)
+    assert ST.run_once(ST.stream_table(spark, source), "go_on", root=f"{tmp_path}/run").count() == 10
+    spark.range(10, 15).write.mode("append").parquet(source)
+    seen = ST.run_once(ST.stream_table(spark, source), "go_on", root=f"{tmp_path}/run")
+    assert sorted(r["id"] for r in seen.collect()) == list(range(15))  # each once
