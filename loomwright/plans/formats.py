@@ -101,16 +101,18 @@ def _equal(a: str, b: str) -> bool:
 
 
 def math_equal(spark: SparkSession, d: str) -> DataFrame:
-    """Fractions in three spellings against each other."""
-    p = table(spark, d, "part").where("p_size > 0").select("p_partkey", "p_size", (F.col("p_partkey") % 12 + 1).cast("int").alias("k"))
-    frac = F.format_string("\\frac{%d}{%d}", "p_size", "k")
-    slash, dec = F.format_string("%d/%d", "p_size", "k"), (F.col("p_size") / F.col("k")).cast("string")
-    return p.select("p_partkey", _equal(frac, slash).alias("slash"), _equal(frac, dec).alias("decimal"), _equal(frac, F.format_string("\\frac{%d}{%d}", F.col("p_size") + 1, "k")).alias("other"))
+    """Two fractions made from a part's keys in several spellings: equal where cross products are."""
+    p = table(spark, d, "part").where("p_size > 0").select("p_partkey", "p_size", *(F.expr(f"int(p_partkey % {n} + 1)").alias(c) for c, n in (("k", 12), ("a", 50), ("b", 6))))
+    one, two = F.format_string("\\frac{%d}{%d}", "p_size", "k"), F.format_string("%d/%d", "a", "b")
+    spelled = F.format_string("\\dfrac{%d}{%d}", "a", "b")
+    root = F.format_string("\\sqrt{%d}", F.col("p_size") * F.col("p_size"))
+    return p.select("p_partkey", _equal(one, two).alias("slash"), _equal(one, spelled).alias("display"), _equal(root, F.col("a").cast("string")).alias("root"), _equal(F.format_string("%d(x+%d)", "a", "b"), F.format_string("%dx+%d", "a", F.col("p_size") * F.col("b"))).alias("factored"))
 
 
 def math_verifier(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", F.format_string("So we get \\boxed{%d} in all.", "p_size").alias("a"), F.col("p_size").cast("string").alias("y"))
-    return p.select("p_partkey", V.score_column(F.lit("math"), "a", "y").alias("math"), V.score_column(F.lit("gsm8k"), "a", F.concat("y", F.lit("0"))).alias("wrong"))
+    """Boxed sizes against another number of the part, and with a nought behind."""
+    p = table(spark, d, "part").select("p_partkey", F.format_string("So we get \\boxed{%d} in all.", "p_size").alias("a"), F.expr("string(p_partkey % 50 + 1)").alias("y"))
+    return p.select("p_partkey", V.score_column(F.lit("math"), "a", "y").alias("math"), V.score_column(F.lit("gsm8k"), F.concat("a", F.lit(" 0")), F.concat("y", F.lit("0"))).alias("last"))
 
 
 def code_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +199,13 @@ QUERIES = {
     "chat_bracketed": (_chat("bracketed"), f"SELECT id, md5(CASE WHEN len(list_filter(messages, lambda m: m.role = 'system')) > 0 THEN '' ELSE '<|im_start|>system' || chr(10) || 'You are a helpful AI assistant.{C.NO_FUNCTIONS}<|im_end|>' || chr(10) END || array_to_string(list_transform(messages, lambda m, i: '<|im_start|>' || m.role || chr(10) || {_TXT} || CASE WHEN m.role = 'assistant' AND i = {_N} THEN '</s>' WHEN m.role = 'system' THEN '{C.NO_FUNCTIONS}<|im_end|>' || chr(10) ELSE '<|im_end|>' || chr(10) END), '')) AS h FROM {_C}"),
     "chat_r1": (_chat("r1_simple_chat", True), f"SELECT id, md5('{C.R1_PREAMBLE.replace(chr(10), '')}' || chr(10) || chr(10) || array_to_string(list_transform(messages, lambda m: {_ROLE_CAP} || ': ' || {_TXT} || chr(10)), chr(10) || chr(10)) || 'Assistant:') AS h FROM {_C}"),
     "label_mask": (label_mask, f"SELECT id, CAST(coalesce(list_sum(list_transform(messages, lambda m: strlen('<|' || m.role || '|>') + 1 + strlen({_TXT}) + 5)), 0) AS INT) AS n_tokens, CAST(coalesce(list_sum(list_transform(list_filter(messages, lambda m: m.role = 'assistant'), lambda m: strlen({_TXT}) + 5)), 0) AS INT) AS n_kept FROM {_C}"),
-    "label_mask_last": (label_mask_last, None),
+    "label_mask_last": (
+        label_mask_last,
+        f"{_TURNS}, l AS (SELECT *, count(*) OVER (PARTITION BY rid) AS n, strlen('<|' || role || '|>') + 1 AS head, strlen(coalesce(content, '')) AS body FROM u), "
+        "t AS (SELECT *, head + body + CASE WHEN role <> 'assistant' THEN 1 WHEN i = n THEN 4 ELSE 5 END AS size FROM l), "
+        "g AS (SELECT rid, sum(size) AS total, coalesce(sum(size) FILTER (i < n), 0) + coalesce(sum(head) FILTER (i = n AND role = 'assistant'), 0) AS before FROM t GROUP BY 1) "
+        "SELECT c.id, CAST(least(g.total, 512) AS INT) AS n_tokens FROM c JOIN g USING (rid) WHERE g.before < 512",
+    ),
     "truncated_messages": (
         truncated_messages,
         f"{_TURNS}, r AS (SELECT *, sum(coalesce(length(content), 0)) OVER (PARTITION BY rid ORDER BY CASE WHEN role = 'system' THEN 0 ELSE 1 END, i) AS s FROM u) "
@@ -220,8 +228,8 @@ QUERIES = {
     ),
     "lettered_choices": (lettered_choices, "WITH l AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY lower(n_name), n_name) AS k FROM nation) SELECT n_regionkey, string_agg(chr(CAST(64 + k AS INT)) || '. ' || n_name, chr(10) ORDER BY k) AS lines, chr(CAST(64 + max_by(k, n_name) AS INT)) AS letter FROM l GROUP BY 1"),
     "judge_scores": (judge_scores, "SELECT n_nationkey, round(CASE n_nationkey % 4 WHEN 0 THEN n_nationkey / 30 WHEN 1 THEN n_nationkey / 100 WHEN 2 THEN 1.0 ELSE 0.0 END, 6) AS free, CAST(n_nationkey AS DOUBLE) AS json, n_nationkey / 10 AS of_10, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS decision FROM nation"),
-    "math_equal": (math_equal, "SELECT p_partkey, true AS slash, true AS decimal, false AS other FROM part WHERE p_size > 0"),
-    "math_verifier": (math_verifier, "SELECT p_partkey, CAST(1 AS DOUBLE) AS math, CAST(0 AS DOUBLE) AS wrong FROM part"),
+    "math_equal": (math_equal, "SELECT p_partkey, p_size * b = a * k AS slash, p_size * b = a * k AS display, p_size = a AS root, a * b = p_size * b AS factored FROM (SELECT *, p_partkey % 12 + 1 AS k, p_partkey % 50 + 1 AS a, p_partkey % 6 + 1 AS b FROM part) WHERE p_size > 0"),
+    "math_verifier": (math_verifier, "SELECT p_partkey, CAST(p_size = p_partkey % 50 + 1 AS DOUBLE) AS math, CAST(0 AS DOUBLE) AS last FROM part"),
     "code_blocks": (code_blocks, f"WITH b AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)```(?:python)?(.*?)```', 1) AS l FROM documents) SELECT doc_id, CAST(CASE WHEN len(l) > 0 THEN length({strip_sql('l[-1]')}) ELSE length(text) END AS INT) AS n FROM b"),
     "answers": (answers, f"""WITH s AS (SELECT doc_id, text, {strip_sql("replace(text, '<|assistant|>', '')")} AS t FROM documents) SELECT doc_id, md5({strip_sql("replace(replace(string_split(t, '</think>')[-1], '<answer>', ''), '</answer>', '')")}) AS last,
 md5(CASE WHEN regexp_matches(text, '(?s)<answer>.*?</answer>') THEN {strip_sql("regexp_extract(text, '(?s)<answer>(.*?)</answer>', 1)")} WHEN contains(text, '</think>') THEN {strip_sql("regexp_extract(text, '(?s)^.*?</think>(.*)$', 1)")} ELSE t END) AS first FROM s"""),

@@ -14,6 +14,7 @@ from loomwright.operators import stats as S
 from loomwright.operators import tables as TB
 from loomwright.schema import concat_aligned
 from loomwright.plans.datasets import _GAE
+from loomwright.plans.rules import INSTRUCTIONS, _given
 from loomwright.sources.tables import table
 
 
@@ -300,7 +301,10 @@ QUERIES = {
     "reward_length": (reward_length, "SELECT DISTINCT seq_id, round(1 - abs(len(input_ids) - 100) / 1024.0, 6) AS near, round(CASE WHEN len(input_ids) <= 100 THEN 1.0 ELSE 1 - (len(input_ids) - 100) / 1024.0 END, 6) AS up_to FROM tokenized_sft WHERE input_ids IS NOT NULL"),
     "reward_flan": (reward_flan, f"SELECT n_nationkey, CAST({_PLAIN.format(x=chr(39) + 'the ' + chr(39) + ' || lower(n_name) || ' + chr(39) + '.' + chr(39))} = {_PLAIN.format(x='n_name')} AS DOUBLE) AS flan, CAST(1 AS DOUBLE) AS puzzle, CAST(1 AS DOUBLE) AS matcher, CAST(1 AS DOUBLE) AS format FROM nation"),
     "reward_combined": (reward_combined, r"SELECT n_nationkey, CAST(2 + CASE WHEN regexp_extract_all(n_name, '(\d+)', 1)[-1] = '7' THEN 1 ELSE 0 END AS DOUBLE) AS reward, CAST(2 AS DOUBLE) AS flan FROM nation"),
-    "if_registry": (if_registry, None),
+    "if_registry": (
+        if_registry,
+        f"WITH t AS (SELECT doc_id, {_given('text')} AS text FROM documents) SELECT doc_id, round(CASE WHEN text = '' THEN 0 ELSE (" + " + ".join(f"CAST(({INSTRUCTIONS[k][1]}) AS INT)" for k in ("punctuation:no_comma", "length_constraints:number_words", "keywords:palindrome")) + ") / 3.0 END, 6) AS score FROM t",
+    ),
     "if_checks": (if_checks, r"""SELECT doc_id, NOT contains(text, ',') AS no_comma, NOT contains(text, '!') AS no_exclamation, NOT contains(text, '.') AS no_dot, len(regexp_extract_all(text, '(\[.*?\])', 1)) >= 1 AS placeholder,
 regexp_matches(text, '<<[^\n]+>>') AS title, len(regexp_extract_all(text, '([a-zA-Z])', 1)) >= 300 AS letters, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*[*-]'))) = 3 AS bullets, len(string_split(text, chr(10) || chr(10))) = 3 AS three_paragraphs,
 upper(text) = text AS upper, lower(text) = text AS lower, starts_with(text, 'User') AS starts, ends_with(text, '.') AS ends, contains(lower(text), 'filter') AS keyword, len(regexp_extract_all(lower(text), '(table)', 1)) >= 2 AS frequency, contains(text, '******') AS two,
