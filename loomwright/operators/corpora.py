@@ -103,6 +103,45 @@ def problems(df: DataFrame, key: str, problem: str, answer: str, longest: int |
     return df.select(key, F.array(message("user", text)).alias("messages"), F.array(*labels, n).alias("ground_truth"), F.array(*map(F.lit, [*names, "max_length"])).alias("dataset"))
 
 
+def thinker_messages(messages: str | Column, opens: str = "<|reserved_special_token_246|>", closes: str = "<|reserved_special_token_247|>") -> Column:
+    """Messages whose marks of thinking are tags: what follows the thinking is an answer, closed at the end.  Null contents stay null."""
+    def one(m: Column) -> Column:
+        c = F.replace(F.replace(m["content"], F.lit(opens), F.lit("<think>")), F.lit(closes), F.lit("</think><answer>"))
+        return F.struct(m["role"].alias("role"), F.when(c.contains("<answer>"), F.concat(c, F.lit("</answer>"))).otherwise(c).alias("content"))
+
+    return F.transform(col(messages), one)
+
+
+def last_answer(messages: str | Column) -> Column:
+    """What the last turn says behind its thinking, without answer tags."""
+    c = F.substring_index(F.try_element_at(col(messages), F.lit(-1))["content"], "</think>", -1)
+    return F.replace(F.replace(c, F.lit("<answer>")), F.lit("</answer>"))
+
+
+def thoughts(df: DataFrame, question: str, reasoning: str, answer: str, verifier: str = "tulu_thinker") -> DataFrame:
+    """``messages, ground_truth, dataset`` of questions with reasoning and answer; rows where one is null or empty are left out."""
+    rest = [c for c in df.columns if c not in (question, reasoning, answer)]
+    full = df.where((F.col(question) != "") & (F.col(reasoning) != "") & (F.col(answer) != ""))
+    said = F.concat(F.lit("<think>"), reasoning, F.lit("</think><answer>"), answer, F.lit("</answer>"))
+    return full.select(*rest, F.array(message("user", F.col(question)), message("assistant", said)).alias("messages"), F.col(answer).alias("ground_truth"), F.lit(verifier).alias("dataset"))
+
+
+def first_annotation(annotations: str | Column, name: str) -> Column:
+    """A field of the first annotation of a list, null where there is none."""
+    return F.try_element_at(col(annotations), F.lit(1))[name]
+
+
+def with_results(rows: DataFrame, results: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """One row per result of a batch: the columns of the row with its id and those of the result, which win where names clash.
+
+    Results without a row are left out; of rows with one id the last in ``order`` is taken, or any without an order.
+    """
+    kept = [c for c in rows.columns if c not in results.columns or c == key]
+    w = Window.partitionBy(key).orderBy(*(order or [F.lit(0)]))
+    last = rows.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_rn = _n").select(*kept)
+    return last.join(results, key)
+
+
 def bare_prompt(prompt: str | Column) -> Column:
     """A prompt without the speaker before it and the one behind it, stripped."""
     p = col(prompt)

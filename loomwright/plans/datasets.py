@@ -56,6 +56,19 @@ def bare_prompts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", P.bare_prompt(form).alias("prompt"))
 
 
+def thought_rows(spark: SparkSession, d: str) -> DataFrame:
+    """First and second outputs of a prompt as reasoning and answer."""
+    two = _outputs(spark, d).where("prompt_hash is not null and model is not null").groupBy("prompt_hash", "model").agg(F.min("response").alias("reasoning"), F.max("response").alias("answer"))
+    x = P.thoughts(two.withColumn("question", F.col("prompt_hash")), "question", "reasoning", "answer")
+    return x.select("prompt_hash", "model", F.md5(F.element_at("messages", 2)["content"]).alias("h"), F.md5(P.last_answer("messages")).alias("answer"), "dataset")
+
+
+def enriched_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as results of a batch over documents: a quality for each label, the document's kind beside it."""
+    results = table(spark, d, "labels").where("quality is not null").select("doc_id", "quality").distinct()
+    return P.with_results(table(spark, d, "documents").select("doc_id", "kind"), results, "doc_id", [F.col("kind")])
+
+
 def prompt_lists(spark: SparkSession, d: str) -> DataFrame:
     """Per prompt the first text and the lists of models and of first outputs, by model and place."""
     m = _outputs(spark, d).where("out_index = 0 and model is not null")
@@ -116,6 +129,12 @@ QUERIES = {
         f"UNION ALL SELECT p_partkey, p_name || '{_STEP} Think for ' || {_LEN.format(8192)} || ' tokens.', CAST({_LEN.format(8192)} AS VARCHAR), 'max_length' FROM part",
     ),
     "bare_prompts": (bare_prompts, "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'Human:' || p_name ELSE p_name || ' Assistant:' END AS prompt FROM part"),
+    "thought_rows": (
+        thought_rows,
+        f"WITH o AS (SELECT prompt_hash, model, min(response) AS r, max(response) AS a FROM {_O} WHERE prompt_hash IS NOT NULL AND model IS NOT NULL GROUP BY 1, 2) SELECT prompt_hash, model, md5('<think>' || r || '</think><answer>' || a || '</answer>') AS h, "
+        "md5(replace(replace(string_split('</think><answer>' || a || '</answer>', '</think>')[-1], '<answer>', ''), '</answer>', '')) AS answer, 'tulu_thinker' AS dataset FROM o WHERE r <> '' AND a <> '' AND prompt_hash <> ''",
+    ),
+    "enriched_rows": (enriched_rows, "SELECT doc_id, kind, quality FROM (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IS NOT NULL) JOIN documents USING (doc_id)"),
     "prompt_lists": (prompt_lists, f"SELECT prompt_hash, md5(coalesce(list(response ORDER BY model, coalesce(response, ''))[1], '?')) AS first, string_agg(model, ',' ORDER BY model) AS models, CAST(count(*) AS INT) AS n FROM {_O} WHERE out_index = 0 AND model IS NOT NULL GROUP BY 1"),
     "versus": (
         versus,

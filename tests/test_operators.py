@@ -395,3 +395,19 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     spark.range(10, 15).write.mode("append").parquet(source)
     seen = ST.run_once(ST.stream_table(spark, source), "go_on", root=f"{tmp_path}/run")
     assert sorted(r["id"] for r in seen.collect()) == list(range(15))  # each once
+
+
+def test_thinker_rewrites_and_batch_results(spark):
+    from loomwright.operators import corpora as K
+
+    t = spark.createDataFrame([(1, [("user", "q"), ("assistant", "<|reserved_special_token_246|>so<|reserved_special_token_247|>42")]), (2, [("assistant", None)]), (3, []), (4, None)], "k long, m array<struct<role:string,content:string>>")
+    got = {r["k"]: r for r in t.select("k", K.thinker_messages("m").alias("m")).select("k", "m", K.last_answer("m").alias("a")).collect()}
+    assert got[1]["m"][1]["content"] == "<think>so</think><answer>42</answer>" and got[1]["a"] == "42"
+    assert got[2]["a"] is None and got[3]["m"] == [] and got[4]["m"] is None
+    q = spark.createDataFrame([(1, "q", "r", "a"), (2, "q", "", "a"), (3, None, "r", "a")], "k long, q string, r string, a string")
+    assert [r["k"] for r in K.thoughts(q, "q", "r", "a").collect()] == [1]
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "id string, v int, level string")
+    results = spark.createDataFrame([("a", "hard"), ("c", "easy"), (None, "none")], "id string, level string")
+    assert [tuple(r) for r in K.with_results(rows, results, "id", [F.col("v")]).collect()] == [("a", 2, "hard")]
+    notes = spark.createDataFrame([([("long",)],), ([],)], "n array<struct<long_answer:string>>")
+    assert [r[0] for r in notes.select(K.first_annotation("n", "long_answer")).collect()] == ["long", None]
