@@ -130,12 +130,9 @@ def asked_language(prompt: str | list[str]) -> str:
     """
     asked = ""
     for u in units(prompt) if isinstance(prompt, str) else prompt:
-        if not ASKS.search(u):
-            continue
-        for lang, p in _NAMES:
-            m = p.search(u)
-            if m and (len(u) - m.end() < 60 or m.start() < 60):
-                asked = lang
+        if ASKS.search(u):
+            named = [(m.end(), lang) for lang, p in _NAMES for m in p.finditer(u)]
+            asked = max(named)[1] if named else asked
     return asked
 
 

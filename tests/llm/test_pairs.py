@@ -17,6 +17,12 @@ def test_asked_language():
     assert P.asked_language("Which German cities are large?") == ""
 
 
+def test_a_request_for_a_language_anywhere_in_a_long_sentence():
+    long = "With the lantern, the ladder and all of the other things that were left in the shed before winter, answer in German, and do not forget the ribbons, the crates and the labels that the gardener left there."
+    assert P.asked_language(long) == "de"
+    assert P.asked_language("Translate from English into French, then answer in Spanish.") == "es"
+
+
 def test_copies():
     p = "Explain how a kettle works to a patient student in ten minutes."
     assert P.copies_prompt(p, "You asked: " + p)
