@@ -22,10 +22,10 @@ FLAN_SIZES = {"cot_fsopt_data": 20000, "cot_zsopt_data": 20000, "niv2_fsopt_data
 STEP_BY_STEP = " Let's think step by step and output the final answer within \\boxed{}."
 #: Names of transforms, where a name stands for a later version too.
 TRANSFORMS = {
-    "sft_tokenize_v1": "map", "sft_tokenize_mask_out_prompt_v1": "map", "sft_filter_v1": "filter", "sft_tulu_tokenize_and_truncate_v1": "map", "sft_tulu_filter_v1": "filter",
-    "preference_tokenize_v1": "map", "preference_filter_v1": "filter", "preference_tulu_tokenize_and_truncate_v1": "map", "preference_tulu_filter_v1": "filter", "rlvr_tokenize_v1": "map", "rlvr_max_length_filter_v1": "filter",
+    "sft_tokenize_v1": "map", "sft_tokenize_mask_out_prompt_v1": "map", "sft_filter_v1": "filter", "sft_chat_tokenize_and_truncate_v1": "map", "sft_chat_filter_v1": "filter",
+    "preference_tokenize_v1": "map", "preference_filter_v1": "filter", "preference_chat_tokenize_and_truncate_v1": "map", "preference_chat_filter_v1": "filter", "rlvr_tokenize_v1": "map", "rlvr_max_length_filter_v1": "filter",
 }
-VERSIONS = {"preference_tulu_tokenize_and_truncate_v1": "preference_tulu_tokenize_and_truncate_v1_2", "rlvr_tokenize_v1": "rlvr_tokenize_v3", "rlvr_max_length_filter_v1": "rlvr_max_length_filter_v2"}
+VERSIONS = {"preference_chat_tokenize_and_truncate_v1": "preference_chat_tokenize_and_truncate_v1_2", "rlvr_tokenize_v1": "rlvr_tokenize_v3", "rlvr_max_length_filter_v1": "rlvr_max_length_filter_v2"}
 # ----------------------------------------------------------------------------------------------------
 
 
@@ -118,7 +118,7 @@ def last_answer(messages: str | Column) -> Column:
     return F.replace(F.replace(c, F.lit("<answer>")), F.lit("</answer>"))
 
 
-def thoughts(df: DataFrame, question: str, reasoning: str, answer: str, verifier: str = "tulu_thinker") -> DataFrame:
+def thoughts(df: DataFrame, question: str, reasoning: str, answer: str, verifier: str = "thinker") -> DataFrame:
     """``messages, ground_truth, dataset`` of questions with reasoning and answer; rows where one is null or empty are left out."""
     rest = [c for c in df.columns if c not in (question, reasoning, answer)]
     full = df.where((F.col(question) != "") & (F.col(reasoning) != "") & (F.col(answer) != ""))

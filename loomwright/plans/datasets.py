@@ -132,7 +132,7 @@ QUERIES = {
     "thought_rows": (
         thought_rows,
         f"WITH o AS (SELECT prompt_hash, model, min(response) AS r, max(response) AS a FROM {_O} WHERE prompt_hash IS NOT NULL AND model IS NOT NULL GROUP BY 1, 2) SELECT prompt_hash, model, md5('<think>' || r || '</think><answer>' || a || '</answer>') AS h, "
-        "md5(replace(replace(string_split('</think><answer>' || a || '</answer>', '</think>')[-1], '<answer>', ''), '</answer>', '')) AS answer, 'tulu_thinker' AS dataset FROM o WHERE r <> '' AND a <> '' AND prompt_hash <> ''",
+        "md5(replace(replace(string_split('</think><answer>' || a || '</answer>', '</think>')[-1], '<answer>', ''), '</answer>', '')) AS answer, 'thinker' AS dataset FROM o WHERE r <> '' AND a <> '' AND prompt_hash <> ''",
     ),
     "enriched_rows": (enriched_rows, "SELECT doc_id, kind, quality FROM (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IS NOT NULL) JOIN documents USING (doc_id)"),
     "prompt_lists": (prompt_lists, f"SELECT prompt_hash, md5(coalesce(list(response ORDER BY model, coalesce(response, ''))[1], '?')) AS first, string_agg(model, ',' ORDER BY model) AS models, CAST(count(*) AS INT) AS n FROM {_O} WHERE out_index = 0 AND model IS NOT NULL GROUP BY 1"),
